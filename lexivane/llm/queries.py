@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivane.llm import rules
+from lexivane.llm import mixing, rules, sharding
+from lexivane.llm.common import word_count
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -20,6 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    docs = table(spark, sf_dir, "documents")
+    sized = docs.select(F.col("doc_id").alias("key"), word_count(F.col("text")).alias("size"), "source")
+    plan = mixing.plan_copies(sized)
+    return plan.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+
+
+@query
+def op7_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in 16 shards whose row counts differ by one at most."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    slim = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"))
+    placed = sharding.shuffle_into_shards(slim, 16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule metrics and verdict of every document."""
