@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivane.llm import mixing, rules, sharding, simhash
+from lexivane.llm import decontam, mixing, rules, sharding, simhash
 from lexivane.llm.common import word_count
 
 QUERIES: dict = {}
@@ -30,6 +30,15 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+@query
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand inside benchmark windows."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    found = decontam.find_hits(docs, table(spark, sf_dir, "benchmark")).withColumn("n_hit", decontam.n_hit())
+    items = F.sha2(F.encode(F.array_join("items", ","), "utf-8"), 256)
+    return found.select(F.col("key").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), decontam.is_contaminated().alias("contaminated"))
+
+
 @query
 def op7_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in 16 shards whose row counts differ by one at most."""
@@ -89,3 +98,22 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   NOT base_failed AND {_verdict_sql()} AS kept
 FROM b
 """
+
+
+_NORMAL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL["op6_decontaminate"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_NORMAL_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_NORMAL_WORDS} AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, list_aggregate(w[i:i + 12], 'string_agg', ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+s AS (SELECT DISTINCT n FROM g),
+x AS (SELECT rid, n, i, list_aggregate(w[i:i + n - 1], 'string_agg', ' ') AS g
+  FROM (SELECT rid, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, s WHERE len(w) >= n)),
+h AS (SELECT rid, x.n, i, item_id FROM x JOIN g ON x.g = g.g AND x.n = g.n),
+hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM h) GROUP BY rid),
+it AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM h) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)
+"""
