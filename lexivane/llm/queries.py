@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivane.llm import decontam, mixing, rules, sharding, simhash
+from lexivane.llm import decontam, mixing, rules, sharding, simhash, sstable
 from lexivane.llm.common import word_count
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public tokenizer's file; every operator takes such a path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
@@ -61,6 +68,13 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query
+def op9_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to sorted tables and read back."""
+    manifest = sstable.write_tables(table(spark, sf_dir, "documents"), tokenizer_path())
+    return sstable.read_tables(manifest)
+
+
 def _stop_list() -> str:
     return ", ".join(f"'{w}'" for w in dict.fromkeys(rules.STOP_WORDS))
 
