@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivane.llm import decontam, mixing, rules, sharding, simhash, sstable
+from lexivane.llm import decontam, mixing, rules, sharding, simhash, sstable, warc
 from lexivane.llm.common import word_count
 
 QUERIES: dict = {}
@@ -55,6 +55,12 @@ def op7_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op3_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to dictionary-compressed archives and read back."""
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+
+
 @query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule metrics and verdict of every document."""
@@ -131,3 +137,14 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)
 """
+
+
+_B32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(h, {1 + 10 * g}, 10))::BIGINT >> {35 - 5 * k} & 31)::INT + 1, 1)" for g in range(4) for k in range(8))
+ORACLE_SQL["op3_warc_zstd"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT page_id, strlen(t) AS n, h, max(page_id) OVER (PARTITION BY t) AS top FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, {_B32} AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM m
+"""
