@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivane.llm import chat, decontam, mixing, rules, sharding, simhash, sstable, warc
+from lexivane.llm import chat, decontam, mixing, pii, quality_model, rules, sharding, simhash, sstable, warc
 from lexivane.llm.common import word_count
 
 QUERIES: dict = {}
@@ -55,6 +55,12 @@ def op7_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from labels that aren't held out."""
+    return quality_model.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op3_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, written to dictionary-compressed archives and read back."""
@@ -90,6 +96,12 @@ def op9_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_tables(manifest)
 
 
+@query
+def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii.digest(pii.find_spans(table(spark, sf_dir, "documents")))
+
+
 def _stop_list() -> str:
     return ", ".join(f"'{w}'" for w in dict.fromkeys(rules.STOP_WORDS))
 
