@@ -1,0 +1,98 @@
+import math
+
+import numpy as np
+import pytest
+
+from lexivane.operators import evaluation, significance
+from lexivane.plans import reports
+
+
+def ranked(spark, lists):
+    rows = [(q, i, d) for q, ds in lists.items() for i, d in enumerate(ds, 1)]
+    return spark.createDataFrame(rows, "query_id string, rank int, doc_id string")
+
+
+def qrels(spark, sets):
+    return spark.createDataFrame([(q, d) for q, ds in sets.items() for d in ds], "query_id string, doc_id string")
+
+
+def queries(spark, ids):
+    return spark.createDataFrame([(q, "") for q in ids], "query_id string, text string")
+
+
+def test_metrics(spark):
+    r = ranked(spark, {"a": ["x", "d1", "y", "d2"], "b": ["x", "y", "d1"], "c": ["x"]})
+    rel = qrels(spark, {"a": {"d1", "d2"}, "b": {"d1", "d2", "d3"}, "d": {"d1"}})
+    got = {g["query_id"]: g for g in evaluation.per_query(r, queries(spark, "abcd"), rel, 4).collect()}
+    assert set(got) == {"a", "b", "d"}
+    assert (got["a"]["precision"], got["a"]["recall"], got["a"]["rr"]) == (0.5, 1.0, 0.5)
+    assert got["b"]["rr"] == pytest.approx(1 / 3)
+    assert got["b"]["ndcg"] == pytest.approx(0.5 / (1 + 1 / math.log2(3) + 0.5))
+    assert tuple(got["d"])[1:] == (0.0, 0.0, 0.0, 0.0)
+
+
+def test_means(spark):
+    r = ranked(spark, {"q-1": ["x", "doc-1"], "q-2": ["y"], "q-3": ["z"]})
+    rel = qrels(spark, {"q-1": {"doc-1"}, "q-2": {"doc-3"}})
+    m = evaluation.mean_metrics(r, queries(spark, ["q-1", "q-2", "q-3"]), rel, 2).first()
+    assert (m["precision"], m["recall"], m["mrr"]) == (0.25, 0.5, 0.25)
+    assert m["ndcg"] == pytest.approx(0.5 / math.log2(3))
+    none = evaluation.mean_metrics(r, queries(spark, ["q-3"]), rel, 2).first()
+    assert tuple(none) == (0.0, 0.0, 0.0, 0.0)
+    assert evaluation.per_query(r, queries(spark, ["q-1"]), rel, 0).first()["precision"] == 0.0
+
+
+def test_best_setting(spark):
+    g = spark.createDataFrame([(0, 0.9, 0.4, 0.5), (1, 0.9, 0.75, 0.7), (2, 1.2, 0.4, 0.7)], "grid_pos int, k1 double, b double, ndcg double")
+    assert evaluation.best_setting(g).first()["grid_pos"] == 1
+    assert evaluation.grid_table(g, (0.9, 1.2)).count() == 2
+    with pytest.raises(ValueError):
+        evaluation.best_setting(g.where("false"))
+
+
+def test_rmse(spark):
+    assert evaluation.rmse(spark.createDataFrame([(3.0, 2.0), (4.0, 4.0)], "actual double, predicted double")).first()[0] == pytest.approx(math.sqrt(0.5))
+
+
+def scores(spark, values):
+    return spark.createDataFrame([(f"q{i:02d}", float(v)) for i, v in enumerate(values)], "query_id string, score double")
+
+
+def test_significance(spark):
+    second = [i / 10 for i in range(8)]
+    up = significance.compare(scores(spark, [v + 0.6 + i / 1000 for i, v in enumerate(second)]), scores(spark, second), resamples=500)
+    assert (up.wins_first, up.wins_second, up.ties) == (8, 0, 0)
+    assert up.t_p < 0.01 and up.w_p == pytest.approx(2 / 256) and up.interval[0] > 0.5
+    same = significance.compare(scores(spark, second), scores(spark, second))
+    assert (same.t, same.t_p, same.w, same.w_p, same.interval, same.ties) == (0, 1, 0, 1, (0, 0), 8)
+    flat = significance.compare(scores(spark, [v + 1 for v in second]), scores(spark, second))
+    assert flat.t == math.inf and flat.t_p == 0.0
+    with pytest.raises(ValueError):
+        significance.compare(scores(spark, [1.0]), scores(spark, [1.0]))
+    with pytest.raises(Exception, match="same query IDs"):
+        significance.compare(scores(spark, [1, 2, 3]), scores(spark, [1, 2]))
+
+
+def test_published_p_values():
+    assert significance.t_p_value(4.8316, 1108) == pytest.approx(1.5448e-06, rel=1e-3)
+    assert significance.t_p_value(2.0, 10) == pytest.approx(0.07338803)
+
+
+def test_signed_ranks(spark):
+    d = spark.createDataFrame([("a", 1.0), ("b", -1.0), ("c", 0.0), ("d", 3.0)], "query_id string, d double")
+    assert {r["query_id"]: r["rank"] for r in significance.signed_ranks(d).collect()} == {"a": 1.5, "b": 1.5, "d": 3.0}
+    s = significance.summary(d).first()
+    assert (s["n"], s["wins_first"], s["wins_second"], s["ties"]) == (4, 2, 1, 1)
+
+
+def test_bootstrap_reruns_agree():
+    d = np.array([0.1, -0.2, 0.3, 0.4])
+    assert significance.bootstrap_interval(d, 5, 600) == significance.bootstrap_interval(d, 5, 600)
+
+
+def test_reports():
+    assert reports.recommender_table([("popularity", None, 0.01, 0.0171)]).splitlines()[-1] == "| popularity | N/A | 0.010 | 0.017 |"
+    assert reports.results_table([("BM25", "k1=1.2", 0.1, 0.2, 0.3, 0.4, 0.0015)]).endswith("| 0.400 | 1.500 |")
+    assert reports.update_section("# A\n\ntext\n\n## B\nold\n", "## B", "## B\nnew") == "# A\n\ntext\n\n## B\nnew\n"
+    c = significance.Comparison(10, 0.0243851, 4.83157, 1.54441e-06, 16540.0, 1.6e-06, (0.0144907, 0.0343129), 5, 3, 2)
+    assert "| 0.024385 | 4.8316 | 1.54441e-06 |" in reports.significance_report(c) and "[0.014491, 0.034313]" in reports.significance_report(c)
