@@ -90,7 +90,8 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, max_repeats: float = MAX_R
     all_rows = Window.partitionBy()
     level = (F.sum("source_size").over(all_rows) - F.coalesce(F.sum("room").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
     leveled = ranked.withColumn("level", level)
-    free = F.min(F.when(F.col("level") < F.col("at"), F.struct("at", F.col("level").alias("level")))).over(all_rows)["level"]
+    # The first source that isn't cut; of equal ones the first has the highest level.
+    free = -F.min(F.when(F.col("level") < F.col("at"), F.struct("at", (-F.col("level")).alias("down")))).over(all_rows)["down"]
     target = F.coalesce(F.least(F.col("room"), F.col("weight") * free), F.col("room"))
     return leveled.select("source", "source_size", "n", target.alias("target"))
 
