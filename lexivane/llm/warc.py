@@ -24,10 +24,10 @@ from lexivane.llm.common import column_or_null, new_folder, written
 
 #: The magic number of the skippable frame that holds a dictionary.
 DICT_MAGIC = 0x184D2A5D
-DICT_BYTES, SAMPLE_BYTES, LEVEL = 1 << 16, 4 << 20, 3
+DICT_BYTES, SAMPLE_BYTES, SAMPLE_RECORD, LEVEL = 1 << 16, 4 << 20, 1 << 14, 3
 #: Below this many samples no dictionary can be trained, and files go without.
 LEAST_SAMPLES = 16
-FILE_BYTES = 512 << 20
+FILE_BYTES, MAX_READERS = 512 << 20, 50_000
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 
@@ -85,15 +85,20 @@ def parse(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
 
 def train(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
-    """A dictionary for these records; empty where there are too few to train one."""
+    """A dictionary for these records; empty where there are too few to train one.
+
+    The trainer gives up where long runs of a sample repeat themselves; a smaller
+    dictionary is asked for then.
+    """
     import zstandard
 
-    if len(samples) < LEAST_SAMPLES:
-        return b""
-    try:
-        return zstandard.train_dictionary(min(size, sum(map(len, samples)) // 10), samples, k=1024, d=8).as_bytes()
-    except zstandard.ZstdError:  # samples without anything in common
-        return b""
+    size = min(size, sum(map(len, samples)) // 10)
+    while len(samples) >= LEAST_SAMPLES and size >= 256:
+        try:
+            return zstandard.train_dictionary(size, samples, k=min(1024, size // 2), d=8).as_bytes()
+        except zstandard.ZstdError:
+            size //= 2
+    return b""
 
 
 class Writer:
@@ -151,7 +156,7 @@ def _write(folder: str, dictionary, date: str):
                 if writer is None:
                     # A repeated task writes files of its own; the manifest names those of the one that counted.
                     name = f"part-{part:05d}-{len(rows):03d}-{uuid.uuid4().hex}.warc.zst"
-                    writer = Writer(store.open_output_stream(f"{place}/{name}"), dictionary.value)
+                    writer = Writer(store.open_output_stream(f"{place}/{name}", compression=None), dictionary.value)
                     rows.append([f"{folder}/{name}", 0])
                 writer.add(record(page, url, html or b"", refers, revisit, date))
                 rows[-1][1] = writer.n
@@ -166,13 +171,16 @@ def _write(folder: str, dictionary, date: str):
 
 
 def dictionary_for(pages: DataFrame, total_bytes: int, sample_bytes: int = SAMPLE_BYTES) -> bytes:
-    """A dictionary from whole records, drawn by hash from all pages, some ``sample_bytes`` in all."""
+    """A dictionary from records drawn by hash from all pages, some ``sample_bytes`` in all.
+
+    The trainer sees at most ``SAMPLE_RECORD`` bytes of a record, so that no page rules
+    it; what is archived is whole.
+    """
     per = max(1, total_bytes // sample_bytes)
     drawn = pages.where(F.pmod(F.xxhash64("page_id", F.lit("dictionary")), F.lit(per)) == 0) if per > 1 else pages
     samples, left = [], 4 * sample_bytes
     for r in drawn.select("page_id", "url", "html").toLocalIterator():
-        raw = record(r["page_id"], r["url"], (r["html"] or "").encode()[:sample_bytes], None, False)
-        samples.append(raw[:131_072])
+        samples.append(record(r["page_id"], r["url"], (r["html"] or "").encode(), None, False)[:SAMPLE_RECORD])
         left -= len(samples[-1])
         if left < 0:
             break
@@ -217,7 +225,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def out():
                 return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-            with store.open_input_stream(place) as source:
+            with store.open_input_stream(place, compression=None) as source:
                 for raw in read_records(source):
                     warc, http, _ = parse(raw)
                     refers = warc.get("WARC-Refers-To")
@@ -231,4 +239,6 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(manifest: DataFrame) -> DataFrame:
     """Per record, read back and verified: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    return manifest.select("path").repartition("path").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    files = max(1, min(manifest.count(), MAX_READERS))
+    # A fixed number: paths are so few bytes that adaptive execution would read all files in one task.
+    return manifest.select("path").repartition(files).mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
