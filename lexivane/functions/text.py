@@ -12,12 +12,18 @@ STOPWORDS = ("a", "an", "and", "in", "of", "the", "to")
 DIACRITICS = r"[\x{064B}-\x{0652}\x{0670}]"
 FOLD_FROM = "أإآٱى٠١٢٣٤٥٦٧٨٩ـ"
 FOLD_TO = "ااااي0123456789"
+#: The range of all characters that folding changes.
+FOLDED = r"[\x{0622}-\x{0671}]"
 TERM = r"[\p{L}\p{N}]+"
 
 
 def fold(text: Column) -> Column:
-    """Drop Arabic marks and tatweel, unify letter forms and digits, lower-case."""
-    return F.lower(F.translate(F.regexp_replace(text, DIACRITICS, ""), FOLD_FROM, FOLD_TO))
+    """Drop Arabic marks and tatweel, unify letter forms and digits, lower-case.
+
+    Texts without a character of that range, found by one scan, skip the folding.
+    """
+    folded = F.translate(F.regexp_replace(text, DIACRITICS, ""), FOLD_FROM, FOLD_TO)
+    return F.lower(F.when(text.rlike(FOLDED), folded).otherwise(text))
 
 
 def tokenize(text: Column, stopwords: Iterable[str] | None = None) -> Column:

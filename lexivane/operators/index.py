@@ -92,9 +92,14 @@ def _check_unique(docs: DataFrame) -> None:
         raise ValueError("a document with this id already exists")
 
 
-def build_index(documents: DataFrame, tokenizer: Callable[[Column], Column] = tokenize, check: bool = False) -> Index:
-    """Index (doc_id, title, body). With ``check``, repeated ids raise (an extra pass)."""
-    docs = _terms(documents, tokenizer)
+def build_index(documents: DataFrame, tokenizer: Callable[[Column], Column] = tokenize, check: bool = False, cluster: bool = False) -> Index:
+    """Index (doc_id, title, body). With ``check``, repeated ids raise (an extra pass).
+
+    ``cluster`` deals documents out by id first. That one shuffle of texts serves all that
+    is later grouped by document (postings, norms, scores by query and document), which
+    then moves nothing; scans that only filter don't need it.
+    """
+    docs = _terms(documents.repartition("doc_id") if cluster else documents, tokenizer)
     if check:
         _check_unique(docs)
     return Index(docs, version=1, tokenizer=tokenizer)

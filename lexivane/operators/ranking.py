@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivane.functions.driver import ResultCache
+from lexivane.functions.tables import small
 from lexivane.operators.index import Index
 
 #: Scores are compared at this many decimals: sums of equal parts may differ in the last bit.
@@ -32,17 +33,18 @@ def query_terms(index: Index, queries: DataFrame) -> DataFrame:
 def hits(index: Index, queries: DataFrame) -> DataFrame:
     """Postings of the queries' terms with all that a score needs.
 
-    The document side is filtered to the terms asked for before it is counted, so only
-    matching (document, term) pairs are shuffled; document frequency is a window over
-    those pairs. Catalyst broadcasts the query side if it is small.
+    The document side is filtered to the terms asked for before it is counted. A query
+    side that is counted to be small is sent out, so rows stay with their document: over
+    an index clustered by document neither counts nor scores are shuffled then.
     """
     asked = query_terms(index, queries)
-    wanted = asked.select("term").distinct()
+    wanted = small(asked.select("term").distinct())
     each = index.docs.select("doc_id", F.size("terms").alias("doc_len"), F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
-    pairs = each.groupBy("term", "doc_id", "doc_len").agg(F.count("*").alias("tf"))
-    df = pairs.groupBy("term").agg(F.count("*").alias("df"))
+    pairs = each.groupBy("doc_id", "doc_len", "term").agg(F.count("*").alias("tf"))
+    df = index.docs.select(F.explode(F.array_distinct("terms")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    sides = small(asked.join(df, "term"))
     # One row: a bound that doesn't grow with the data.
-    return pairs.join(asked.join(df, "term"), "term").crossJoin(F.broadcast(index.corpus_stats))
+    return pairs.join(sides, "term").crossJoin(F.broadcast(index.corpus_stats))
 
 
 class Ranker(ABC):
