@@ -37,8 +37,9 @@ FOOTER = "<QQQQQQB7x8s"
 BLOCK_BYTES, RESTART, BLOOM_BITS, BLOOM_HASHES = 1 << 16, 16, 10, 7
 #: A file of more bytes than this is closed and the next one begun.
 FILE_BYTES = 256 << 20
+MAX_READERS = 50_000
 #: Texts are encoded in groups of about so many characters.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 1_500_000
 
 
 def key_bytes(doc_id: int | None) -> bytes:
@@ -238,7 +239,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
                     if writer is None:
                         # A repeated task writes files of its own; the manifest names those of the one that counted.
                         name = f"part-{part:05d}-{len(rows):03d}-{uuid.uuid4().hex}.sst"
-                        writer = Writer(store.open_output_stream(f"{place}/{name}"), encoder.width)
+                        writer = Writer(store.open_output_stream(f"{place}/{name}", compression=None), encoder.width)
                     writer.add(key_bytes(i), value + end)
                     if writer.at >= FILE_BYTES:
                         close()
@@ -292,4 +293,6 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_tables(manifest: DataFrame) -> DataFrame:
     """Per document, read from the files: doc_id, start, n_tokens, ids_crc32."""
-    return manifest.select("path", "base").repartition("path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = max(1, min(manifest.count(), MAX_READERS))
+    # A fixed number: paths are so few bytes that adaptive execution would read all files in one task.
+    return manifest.select("path", "base").repartition(files).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -14,12 +14,21 @@ import sys
 
 import numpy as np
 
-#: Words in the table of a Python worker; a full table starts anew.
-CACHE_WORDS = 400_000
+#: Words in each of the two tables of a Python worker. When the newer one is full it takes
+#: the place of the older one, so words that are still in use stay.
+CACHE_WORDS = 200_000
 _CUT = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
 _MARKS = ".,;:!?"
 _ODD = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-_NEAR_SPACE = sorted({x for c in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f" for s in " \n" for x in (s + c, c + s)})
+_OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+#: How a byte-level vocabulary spells the bytes that aren't printable in Latin-1.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
+
+def spelled(raw: bytes) -> str:
+    """Bytes as the letters that a byte-level vocabulary is written in."""
+    return raw.decode("latin-1").translate(_LETTERS)
 
 
 def kept_in_process() -> dict:
@@ -43,6 +52,7 @@ class Encoder:
             self.length[i] = len(token.encode()) if token in special else len(token)
         self.marks = {c: self.plain(c) for c in _MARKS}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -57,6 +67,18 @@ class Encoder:
     def plain(self, text: str) -> bytes:
         return self._bytes(self.model.encode(text, add_special_tokens=False).ids)
 
+    def _learn_letters(self, words: list[str]) -> None:
+        """Words of Latin letters are one piece each, which the model takes without the rest of the library."""
+        tokenize, kind = self.model.model.tokenize, f"<u{self.width}"
+        space = spelled(b" ")
+        found = [[t.id for t in tokenize(space + w if w.isascii() else spelled(b" " + w.encode()))] for w in words]
+        raw = np.array([i for ids in found for i in ids], dtype=kind).tobytes()
+        at = 0
+        for w, ids in zip(words, found, strict=True):
+            end = at + self.width * len(ids)
+            self.words[w] = raw[at:end]
+            at = end
+
     def _learn(self, words: list[str]) -> None:
         for i in range(0, len(words), 5_000):
             part = words[i : i + 5_000]
@@ -78,15 +100,20 @@ class Encoder:
         """The ids of each text, as of the library's ``encode`` without special tokens."""
         cut, wanted = [], set()
         for t in texts:
-            simple = not any(x in t for x in _NEAR_SPACE) and (t.isascii() or not _ODD.search(t)) and t == t.strip()
+            simple = not any(c in t for c in _OTHER_SPACE) and "  " not in t.replace("\n", " ") and (t.isascii() or not _ODD.search(t)) and t == t.strip()
             parts = t.replace("\n", " \n").split(" ") if simple else _CUT.split(t)
             cut.append(parts)
             wanted.update(parts[1:])
         if len(self.words) + len(wanted) > CACHE_WORDS:
-            self.words = {w: self.words[w] for w in wanted if w in self.words}
+            self.older, self.words = self.words, {}
         missing = [w for w in wanted if w not in self.words]
+        if self.older:
+            self.words.update((w, self.older[w]) for w in missing if w in self.older)
+            missing = [w for w in missing if w not in self.older]
+        letters = {w for w in missing if w.isalpha() and max(w) < "\u0250"}
         marked = [w for w in missing if w[-1] in _MARKS and w[:-1].isalpha() and max(w) < "\u0250"]
-        self._learn(list({*missing}.difference(marked).union(w[:-1] for w in marked if w[:-1] not in self.words)))
+        self._learn(list({*missing}.difference(marked, letters)))
+        self._learn_letters([w for w in letters.union(w[:-1] for w in marked) if w not in self.words])
         self.words.update((w, self.words[w[:-1]] + self.marks[w[-1]]) for w in marked)
         get = self.words.__getitem__
         firsts = self.model.encode_batch_fast([p[0] for p in cut], add_special_tokens=False)
