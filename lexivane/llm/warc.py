@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from lexivane.llm.common import column_or_null, new_folder, written
 
+#: Up to so many repeated digests, some 60 bytes each, are sent to every executor.
+BROADCAST_DIGESTS = 200_000
 #: The magic number of the skippable frame that holds a dictionary.
 DICT_MAGIC = 0x184D2A5D
 DICT_BYTES, SAMPLE_BYTES, SAMPLE_RECORD, LEVEL = 1 << 16, 4 << 20, 1 << 14, 3
@@ -194,7 +196,8 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, date: str = DATE) ->
     largest page_id (null is the least) is a response and the others revisit it; rows
     that repeat this page_id too are responses as well. Null html is an empty payload, a
     null url ``about:blank``; an empty table gives no file. Digests are computed twice
-    instead of moving payloads; only the list of repeated payloads is joined.
+    instead of moving payloads: the list of repeated ones is sent out if it is counted to
+    be short, else joined.
     """
     spark = pages.sparkSession
     html = F.coalesce(column_or_null(pages, "html", "string"), F.lit(""))
@@ -205,7 +208,8 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, date: str = DATE) ->
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
     sent = spark.sparkContext.broadcast(dictionary_for(rows, total))
     again = sizes.where((F.col("copies") > 1) & (F.col("n") >= least_bytes)).select("digest", "first", F.lit(True).alias("repeated"))
-    found = rows.withColumn("digest", digest).join(again, "digest", "left")
+    few = again.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
+    found = rows.withColumn("digest", digest).join(F.broadcast(again) if few else again, "digest", "left")
     revisit = F.coalesce(F.col("repeated"), F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first"))
     out = found.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers"), revisit.alias("revisit"))
     folder = new_folder(spark, "warc")
