@@ -110,8 +110,8 @@ class Encoder:
         if self.older:
             self.words.update((w, self.older[w]) for w in missing if w in self.older)
             missing = [w for w in missing if w not in self.older]
-        letters = {w for w in missing if w.isalpha() and max(w) < "\u0250"}
-        marked = [w for w in missing if w[-1] in _MARKS and w[:-1].isalpha() and max(w) < "\u0250"]
+        letters = {w for w in missing if _latin(w)}
+        marked = [w for w in missing if w[-1] in _MARKS and _latin(w[:-1])]
         self._learn(list({*missing}.difference(marked, letters)))
         self._learn_letters([w for w in letters.union(w[:-1] for w in marked) if w not in self.words])
         self.words.update((w, self.words[w[:-1]] + self.marks[w[-1]]) for w in marked)
@@ -120,6 +120,10 @@ class Encoder:
         return [self._bytes(f.ids) + b"".join(map(get, p[1:])) for f, p in zip(firsts, cut, strict=True)]
 
 
+def _latin(word: str) -> bool:
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+
+
 def _spaced(word: str) -> str:
     """A word as it stands in its text: after a space, but for one that begins a line."""
     return word if word[0] == "\n" else " " + word
