@@ -32,8 +32,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_PAIR = re.compile(r"""(?<![A-Za-z0-9])([A-Za-z][A-Za-z_-]{2,19})[ ]?[=:][ ]?["']?([A-Za-z0-9_+/=-]{8,128})""")
-_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|xox[bap]-[A-Za-z0-9-]{10,72})(?![A-Za-z0-9])")
+_PAIR = re.compile(r"""(?<![A-Za-z0-9])([A-Za-z][A-Za-z_-]{2,19})[ ]?[=:][ ]?["']?([A-Za-z0-9_+/=-]{8,}+)""")
+_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}+|xox[bap]-[A-Za-z0-9-]{10,}+)(?![A-Za-z0-9])")
 _BARE_PHONE = re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])")
 _SPELLED = re.compile(r"(?<![A-Za-z0-9.])[A-Za-z0-9._-]{2,40}[ ]?[\[(]?(?:at|@)[\])]?[ ]?[A-Za-z0-9-]{2,40}[ ]?[\[(]?dot[\])]?[ ]?(?:com|org|net|edu|de|fr|es)(?![A-Za-z])")
 _TITLED = re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?[ ]([A-Z][a-z]{1,20}(?:[ ][A-Z][a-z]{1,20})?)")

@@ -92,6 +92,19 @@ def test_documents(make, edge):
     assert by[1101] == by[1102] == by[110] == by[100] == "" and "secret:" in by[1100]
 
 
+@pytest.mark.parametrize("n", [128, 129, 200, 100_000])
+def test_long_secrets_are_whole(n):
+    value = ("aB3" * n)[:n]
+    assert [c[:3] for c in pii.candidates(f"token={value} end")] == [("secret", 6, 6 + n)]
+    for key in (f"sk-{value}", f"sk-proj-{value[:40]}_{value}", f"xoxb-{value}"):
+        assert [c[:3] for c in pii.candidates(f"use {key}, please")] == [("secret", 4, 4 + len(key))]
+
+
+@pytest.mark.parametrize("text", ["sk-" * 100_000, "xoxb-" * 60_000, "abc=" * 100_000, "token=" + "x" * 300_000])
+def test_open_ended_secrets_take_linear_time(text):
+    pii.candidates(text)
+
+
 def test_redact():
     assert pii.redact("a x@y.z b", [("email", 2, 7)]) == "a <email> b"
     assert pii.redact("0123456789", [("card", 2, 6), ("phone", 4, 8)]) == "01<card>89"
