@@ -5,11 +5,13 @@ credentials, names after titles, phones without a plus sign, spelled-out e-mails
 judged by labelers: patterns, word lists and the words around. Their votes are counted
 over the whole corpus by pattern of votes, expectation-maximisation estimates how far
 each labeler can be relied on, and a logistic classifier of the candidate's own traits
-is trained on the resulting probabilities. It decides which candidates become spans.
+is trained on the resulting probabilities. It decides which candidates become spans;
+of accepted ones that overlap, the likeliest stays.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -166,7 +168,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base.append([{"kind": k, "start": a, "end": b} for k, a, b in mine])
             taken, rows = sorted((a, b) for _, a, b in mine), []
             for kind, a, b, pattern in sorted(candidates(text), key=lambda c: (c[1], -c[2])) if len(text) > 7 else []:
-                if (rows and rows[-1]["end"] > a) or any(x < b and a < y for x, y in taken):
+                if any(x < b and a < y for x, y in taken):
                     continue
                 code = 0
                 for v in votes(text, kind, a, b, pattern):
@@ -218,6 +220,45 @@ def fit_classifier(codes: np.ndarray, positive: np.ndarray, counts: np.ndarray,
     return w
 
 
+def resolve(spans: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int]]:
+    """Disjoint spans of accepted (kind, start, end, logit), by start: the likeliest win.
+
+    A span inside another of its kind goes into it, with the higher logit of the two, so
+    that no part of a value stays out. Ties go to the earlier, then the longer span.
+    """
+    whole: list[tuple[str, int, int, float]] = []
+    last: dict[str, int] = {}
+    for kind, a, b, p in sorted(spans, key=lambda s: (s[1], -s[2], KINDS.index(s[0]))):
+        if kind in last and b <= whole[last[kind]][2]:
+            _, x, y, q = whole[last[kind]]
+            whole[last[kind]] = (kind, x, y, max(p, q))
+        else:
+            last[kind] = len(whole)
+            whole.append((kind, a, b, p))
+    taken: list[tuple[int, int, str]] = []
+    for kind, a, b, _ in sorted(whole, key=lambda s: (-s[3], s[1], -s[2], KINDS.index(s[0]))):
+        at = bisect.bisect_left(taken, (a,))
+        if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or taken[at][0] >= b):
+            taken.insert(at, (a, b, kind))
+    return [(kind, a, b) for a, b, kind in taken]
+
+
+def _resolver(w: list[float]):
+    """Scores the candidates with the classifier's weights and resolves the accepted."""
+    least = math.log(THRESHOLD / (1 - THRESHOLD))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+        for batch in batches:
+            added = []
+            for more in batch.column(2).to_pylist():
+                scored = [(c["kind"], c["start"], c["end"], w[0] + sum(v for i, v in enumerate(w[1:]) if c["traits"] >> i & 1)) for c in more]
+                added.append([{"kind": k, "start": a, "end": b} for k, a, b in resolve([c for c in scored if c[3] >= least])])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(added, kind)], ["doc_id", "base", "added"])
+
+    return run
+
+
 def find_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, base, added) of every row of (doc_id, text): arrays of (kind, start, end).
 
@@ -240,10 +281,8 @@ def find_spans(docs: DataFrame) -> DataFrame:
     table = docs.sparkSession.createDataFrame(believed, "kind string, votes int, p double")
     expected = each.join(F.broadcast(table), ["kind", "votes"]).groupBy("traits").agg(F.sum("p").alias("p"), F.count("*").alias("n")).orderBy("traits").collect()
     w = fit_classifier(np.array([r["traits"] for r in expected]), np.array([r["p"] for r in expected]), np.array([r["n"] for r in expected], dtype=float))
-    logit = lambda c: sum((F.shiftright(c["traits"], i).bitwiseAND(1) * float(v) for i, v in enumerate(w[1:])), F.lit(float(w[0])))
-    least = math.log(THRESHOLD / (1 - THRESHOLD))
-    kept = F.transform(F.filter("more", lambda c: logit(c) >= least), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    return found.select("doc_id", "base", kept.alias("added"))
+    span = "array<struct<kind:string,start:long,end:long>>"
+    return found.mapInArrow(_resolver(w.tolist()), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base {span}, added {span}")
 
 
 def as_text(spans):

@@ -105,6 +105,22 @@ def test_open_ended_secrets_take_linear_time(text):
     pii.candidates(text)
 
 
+def test_resolve():
+    assert pii.resolve([("secret", 7, 19, 0.2), ("phone", 7, 19, 1.5)]) == [("phone", 7, 19)]
+    assert pii.resolve([("name", 0, 10, 0.5), ("secret", 5, 20, 0.9), ("email", 20, 30, 0.1)]) == [("secret", 5, 20), ("email", 20, 30)]
+    assert pii.resolve([("secret", 0, 40, 0.3), ("secret", 10, 30, 2.0), ("phone", 30, 40, 1.0)]) == [("secret", 0, 40)]
+    assert pii.resolve([]) == []
+
+
+def test_labelled_phones_are_voted_on(make):
+    texts = [f"{label} 555-{100 + k}-{4567 + k} now" for k in range(40) for label in ("phone:", "Tel:", "please call")]
+    rows = [(k, t, "s") for k, t in enumerate(texts)]
+    rows += [(1000 + k, f"token={'ab1' * 7}{k} ratio=something", "s") for k in range(40)]
+    for r in pii.digest(pii.find_spans(make(rows))).where("doc_id < 1000").collect():
+        a = texts[r["doc_id"]].index("555")
+        assert r["spans"] == f"phone:{a}:{a + 12}"
+
+
 def test_redact():
     assert pii.redact("a x@y.z b", [("email", 2, 7)]) == "a <email> b"
     assert pii.redact("0123456789", [("card", 2, 6), ("phone", 4, 8)]) == "01<card>89"
