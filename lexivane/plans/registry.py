@@ -626,5 +626,7 @@ def mf_fit(spark, d):
 @query()
 def mf_recommend(spark, d):
     training, testing = _split(spark, d)
-    model = factorization.fit(training, factorization.Settings(epochs=2), item_ids=[r["doc_id"] for r in _items(spark, d).toLocalIterator()])
-    return recommend.factor_unseen(_users(testing.join(model.users, "user_id", "left_semi")), training.select("user_id", "doc_id"), _items(spark, d), model, K)
+    users, items = _users(training.unionByName(testing)), _items(spark, d)
+    ids = lambda rows: [r[0] for r in rows.toLocalIterator()]
+    model = factorization.fit(training, factorization.Settings(epochs=2), user_ids=ids(users), item_ids=ids(items))
+    return recommend.factor_unseen(_users(testing), training.select("user_id", "doc_id"), items, model, K)
