@@ -596,7 +596,7 @@ def centroid_update(spark, d):
 @query()
 def spherical_kmeans(spark, d):
     ix = _clustered(spark, d)
-    return cluster.spherical_kmeans(vectors.document_vectors(ix), ix.docs, k=8, rounds=3)[0]
+    return cluster.spherical_kmeans(vectors.document_vectors(ix), ix.docs)[0]
 
 
 @query()
@@ -614,12 +614,12 @@ def random_split(spark, d):
 @query()
 def synthetic_interactions(spark, d):
     docs = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), (F.col("doc_id") % 12).cast("int").alias("topic"))
-    return synthetic.synthetic_ratings(spark, docs, n_users=50)[0]
+    return synthetic.synthetic_ratings(spark, docs)[0]
 
 
 @query()
 def mf_fit(spark, d):
-    model = factorization.fit(_interactions(spark, d), factorization.Settings(epochs=3))
+    model = factorization.fit(_interactions(spark, d))
     return spark.createDataFrame(list(enumerate(model.losses, 1)), "epoch int, loss double")
 
 
@@ -628,5 +628,5 @@ def mf_recommend(spark, d):
     training, testing = _split(spark, d)
     users, items = _users(training.unionByName(testing)), _items(spark, d)
     ids = lambda rows: [r[0] for r in rows.toLocalIterator()]
-    model = factorization.fit(training, factorization.Settings(epochs=2), user_ids=ids(users), item_ids=ids(items))
+    model = factorization.fit(training, user_ids=ids(users), item_ids=ids(items))
     return recommend.factor_unseen(_users(testing), training.select("user_id", "doc_id"), items, model, K)
