@@ -9,6 +9,9 @@ Only distinct fingerprints are indexed, so exact copies cost nothing. A bucket o
 variants emits its links as a spanning forest, never all pairs: a link between two
 fingerprints that the bucket has already connected adds nothing to a component. Buckets
 above a size are cut again by the variants of the bits that they don't share.
+
+Near copies of a given Jaccard similarity are another matter: few of them are within 4
+bits. ``near_copies`` finds candidates by MinHash bands and compares whole shingle sets.
 """
 
 from __future__ import annotations
@@ -28,6 +31,13 @@ SMALL_RUN = 64
 #: Buckets of more distinct fingerprints than this are cut again.
 LARGE_BUCKET = 20_000
 SALTS = 16
+#: Near copies: bands of so many minima each. A pair of similarity 0.8 shares none with probability 0.0004.
+BANDS, BAND = 20, 5
+_draw = np.random.default_rng(SEED)
+_FACTORS, _TERMS = (_draw.integers(0, 1 << 64, BANDS * BAND, dtype=np.uint64) for _ in range(2))
+_FACTORS |= np.uint64(1)
+#: Up to so many candidates are sent to the texts, not joined by a shuffle of all texts.
+SENT = 200_000
 
 
 def segments(bits: int = 64, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
@@ -37,22 +47,26 @@ def segments(bits: int = 64, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
-    """Bit-wise majority of the XXH64 of all word shingles, repeats included."""
+def shingle_hashes(words: list[bytes], width: int, seed: int = SEED) -> list[int]:
+    """XXH64 of each run of ``width`` words, repeats included; of all words if they are fewer."""
     import xxhash
 
+    joined = b" ".join(words)
+    if len(words) < width:
+        return [xxhash.xxh64_intdigest(joined, seed)]
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
+    """Bit-wise majority of the XXH64 of all word shingles, repeats included."""
     words = text.lower().split()
     if not words:
         return 0
-    joined = b" ".join(words)
-    if len(words) < width:
-        hashes = [xxhash.xxh64_intdigest(joined, seed)]
-    else:
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = ends - lengths
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
+    hashes = shingle_hashes(words, width, seed)
     values, counts = np.array(hashes, dtype="<u8"), np.zeros(64, dtype=np.int64)
     for i in range(0, len(values), 65_536):
         part = values[i : i + 65_536]
@@ -242,15 +256,116 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(classes, "fp").select("id", "key", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The different shingles of a text, sorted; one of an empty text."""
+    return np.unique(np.array(shingle_hashes(text.lower().split(), width), dtype=np.uint64))
+
+
+def bands(shingles: np.ndarray) -> list[int]:
+    """A key for each band of minima of the shingles' affine hashes."""
+    import xxhash
+
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max)
+    for i in range(0, len(shingles), 4096):
+        least = np.minimum(least, (shingles[i : i + 4096, None] * _FACTORS + _TERMS).min(axis=0))
+    rows = least.reshape(BANDS, BAND)
+    return [_signed(xxhash.xxh64_intdigest(rows[k].tobytes(), k)) for k in range(BANDS)]
+
+
+def _signatures(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            sets = [shingle_set(t or b"", width) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            fps = [_signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array([bands(x) for x in sets], pa.list_(pa.int64()))], ["id", "key", "fp", "bands"])
+
+    return run
+
+
+def similar_groups(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set the first of its group; sets of at least that Jaccard similarity are linked."""
+    lengths = np.array([len(x) for x in sets])
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    parts = np.split(codes, np.cumsum(lengths)[:-1])
+    group, unseen = np.arange(len(sets)), np.arange(len(sets))
+    while len(unseen):
+        first, unseen = unseen[0], unseen[1:]
+        todo = [first]
+        flat = codes[np.repeat(np.isin(np.arange(len(sets)), unseen), lengths)]
+        while todo and len(unseen):
+            x = todo.pop()
+            mark = np.zeros(len(values), dtype=np.int64)
+            mark[parts[x]] = 1
+            own = lengths[unseen]
+            shared = np.add.reduceat(mark[flat], np.cumsum(own) - own)
+            near = shared >= similarity * (own + lengths[x] - shared) - 1e-9
+            if near.any():
+                group[unseen[near]] = first
+                todo += unseen[near].tolist()
+                flat, unseen = flat[np.repeat(~near, own)], unseen[~near]
+    return group
+
+
+def _verifier(width: int, similarity: float):
+    """Reads (candidates, fp, text) sorted by the first two; gives (fp, root) of similar sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, fps, sets = None, [], []
+
+        def out():
+            group = similar_groups(sets, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array([fps[g] for g in group], pa.int64())], ["fp", "root"])
+
+        for batch in batches:
+            texts = batch.column(2).cast(pa.binary())
+            for n, (of, fp) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if fps and of != now:
+                    yield out()
+                    fps, sets = [], []
+                now = of
+                if not fps or fps[-1] != fp:
+                    fps.append(fp)
+                    sets.append(shingle_set(texts[n].as_py() or b"", width))
+        if fps:
+            yield out()
+
+    return run
+
+
+def near_copies(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(id, key, fp, root) of every row of (id long, text): texts of equal ``root`` are linked.
+
+    Links are pairs whose sets of ``width``-word shingles have at least that Jaccard
+    similarity. Texts that share a MinHash band are candidates; each component of
+    candidates comes together once, and its sets are compared whole. ``fp`` stands for a
+    set, so exact copies are compared once. Null and empty texts are copies of each other.
+    """
+    keyed = docs.select("id", F.xxhash64("id", F.coalesce("text", F.lit(""))).alias("key"), "text")
+    signed = written(keyed.mapInArrow(_signatures(width), "id long, key long, fp long, bands array<long>"), "copies-bands")
+    distinct = signed.groupBy("fp").agg(F.min("key").alias("key"), F.first("bands").alias("bands"))
+    distinct = written(distinct, "copies-distinct")
+    index = distinct.select("fp", F.explode("bands").alias("band"))
+    least = index.groupBy("band").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
+    stars = written(components(index.join(least, "band").select(F.col("fp").alias("a"), "b")), "copies-candidates")
+    asked = written(distinct.join(stars, distinct["fp"] == stars["node"]).select("key", "fp", F.col("root").alias("candidates")), "copies-asked")
+    asked = F.broadcast(asked) if asked.count() <= SENT else asked
+    texts = keyed.join(asked, "key").select("candidates", "fp", "text").repartition("candidates").sortWithinPartitions("candidates", "fp")
+    roots = written(texts.mapInArrow(_verifier(width, similarity), "fp long, root long"), "copies-roots")
+    return signed.join(roots, "fp", "left").select("id", "key", "fp", F.coalesce("root", "fp").alias("root"))
+
+
+def keep_one(docs: DataFrame, width: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """``docs`` with one row of each near-duplicate component, the one of the smallest id.
 
-    Rows without an id come last in their component. Of rows that repeat the id and the
-    fingerprint, the one with the smallest text hash stays.
+    Near duplicates are those of ``near_duplicates``, or with a ``similarity`` those of
+    ``near_copies``. Rows without an id come last in their component. Of rows that repeat
+    the id and the fingerprint, the one with the smallest text hash stays.
     """
     text = F.coalesce(column_or_null(docs, "text", "string"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), column_or_null(docs, "doc_id", "long").alias("id"), text.alias("text"))
-    found = near_duplicates(rows.select("id", "text"))
+    found = near_duplicates(rows.select("id", "text")) if similarity is None else near_copies(rows.select("id", "text"), width, similarity)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
     chosen = written(first.select("first.key"), "simhash-chosen")
     stays = rows.select("row", F.xxhash64("id", "text").alias("key")).join(chosen, "key", "left_semi")

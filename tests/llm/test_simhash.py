@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lexivane.llm import simhash
 
 
@@ -116,5 +117,42 @@ def test_keep_one(make, edge, words):
     assert simhash.keep_one(make([])).count() == 0
 
 
+def brute_jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_stage_drops_near_copies_of_similarity_080(make, edge):
+    rng = random.Random(4)
+    rows = [r for r in edge if r[0] is not None and r[0] < 60]
+    for k in range(40):
+        words = ["w%05d" % rng.randrange(99_999) for _ in range(200)]
+        for i, changes in enumerate((0, 2, 3, 4, 9)):
+            copy = list(words)
+            for at in range(changes):
+                copy[10 + at * 20] = f"changed{i}x{at}"
+            rows.append((1000 + 10 * k + i, " ".join(copy), "a"))
+    texts = {i: t for i, t, _ in rows}
+    kept = {r["doc_id"] for r in corpus_pipeline.simhash_dedup(None, make(rows), None).collect()}
+    for k in range(40):
+        ids = [1000 + 10 * k + i for i in range(5)]
+        similar = [brute_jaccard(texts[ids[0]], texts[i]) >= 0.8 for i in ids]
+        assert similar == [True, True, True, True, False]
+        assert kept & set(ids) == {ids[0], ids[4]}
+    assert {i for i, _, _ in rows if i < 60} <= kept
+
+
+def test_similar_groups_against_brute_force():
+    rng = random.Random(8)
+    sets = [np.unique(np.array([rng.randrange(40) for _ in range(rng.randint(1, 60))], dtype=np.uint64)) for _ in range(120)]
+    group = simhash.similar_groups(sets, 0.8)
+    near = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8
+    want = list(range(len(sets)))
+    links = [[j for j in range(len(sets)) if near(sets[i], sets[j])] for i in range(len(sets))]
+    for _ in sets:
+        want = [min(want[j] for j in of) for of in links]
+    assert len(set(want)) < len(sets) and group.tolist() == want
+
+
 def test_empty(make):
     assert simhash.near_duplicates(make([]).select(F.col("doc_id").alias("id"), "text")).count() == 0
