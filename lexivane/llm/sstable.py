@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +39,8 @@ BLOCK_BYTES, RESTART, BLOOM_BITS, BLOOM_HASHES = 1 << 16, 16, 10, 7
 #: A file of more bytes than this is closed and the next one begun.
 FILE_BYTES = 256 << 20
 MAX_READERS = 50_000
-#: Texts are encoded in groups of about so many characters.
-GROUP_CHARS = 1_500_000
+#: Texts are encoded in groups of about so many bytes.
+GROUP_BYTES = 4_000_000
 
 
 def key_bytes(doc_id: int | None) -> bytes:
@@ -227,14 +228,13 @@ def _write(folder: str, tokenizer: str, end_id: int):
             rows.append((part, len(rows), f"{folder}/{name}", len(writer.keys), writer.ids))
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
             first = 0
             while first < len(texts):
-                stop, chars = first, 0
-                while stop < len(texts) and chars < GROUP_CHARS:
-                    chars += len(texts[stop] or "")
-                    stop += 1
-                coded = encoder.encode([t or "" for t in texts[first:stop]])
+                before = ends[first - 1] if first else 0
+                stop = min(len(texts), int(np.searchsorted(ends, before + GROUP_BYTES)) + 1)
+                coded = encoder.encode(texts.slice(first, stop - first))
                 for i, value in zip(ids[first:stop], coded, strict=True):
                     if writer is None:
                         # A repeated task writes files of its own; the manifest names those of the one that counted.

@@ -1,0 +1,66 @@
+import json
+import random
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from lexivane.llm import tokens
+from lexivane.llm.queries import tokenizer_path
+from lexivane.llm.tokens import Encoder
+
+ALPHABET = list("abcXYZ019 .,;:!?'\"-#&$\n\t\r\x01\x1c\x85") + ["é", "ß", "Ñ", "×", "ø", "ɏ", "ɐ", "…", "—", " ", " ", "日", "🙂", "  ", "\n\n", "'s", "n't", "<|endoftext|>", " the", "ing ", "à", "à."]
+
+
+def expected(model, text):
+    return model.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_equal_the_library(name, words):
+    """Random strings of every class of character; another kind of tokenizer is left to the library."""
+    rng = random.Random(4)
+    path = tokenizer_path(name)
+    model, encoder = Tokenizer.from_file(path), Encoder(path)
+    assert encoder.by_words == (name == "byte_bpe_50k.json")
+    texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 30))) for _ in range(3_000)]
+    texts += [" ".join(rng.choice(words) + rng.choice(["", "", ".", ",", "!!", "é.", "1,", "'", "x", "###"]) for _ in range(rng.randint(1, 40))).replace(" q", "\nq") for _ in range(500)]
+    for i in range(0, len(texts), 700):
+        part = texts[i : i + 700]
+        for t, got in zip(part, encoder.encode(part), strict=True):
+            assert np.frombuffer(got, encoder.kind).tolist() == expected(model, t), repr(t)
+
+
+def test_every_path_gives_the_same_ids(words, monkeypatch):
+    """Words joined or alone, tables that turn over at once, and texts that hold the inner mark."""
+    path = tokenizer_path()
+    texts = [" ".join(words[i : i + 30]) + tail for i in range(0, 300, 7) for tail in ("", ".", ", x", "\nY z", "\x01, a", " ... b")]
+    want = [x.tobytes() for x in Encoder(path)._whole(texts)]
+    assert Encoder(path).encode(texts) == want
+    alone = Encoder(path)
+    alone.bare = None
+    assert alone.encode(texts) == want
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 20)
+    turning = Encoder(path)
+    assert [x for i in range(0, len(texts), 3) for x in turning.encode(texts[i : i + 3])] == want
+
+
+def test_only_plain_byte_level_is_cut():
+    with open(tokenizer_path()) as f:
+        spec = json.load(f)
+    assert tokens.is_plain_byte_level(spec) and tokens.may_join(spec)
+    changed = [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "use_regex": False}}]
+    changed += [{"added_tokens": [{"id": 0, "content": c, "lstrip": left}]} for c, left in (("a b", False), ("x", True))]
+    assert not any(tokens.is_plain_byte_level({**spec, **c}) for c in changed)
+    model = spec["model"]
+    assert not tokens.may_join({**spec, "model": {**model, "vocab": {**model["vocab"], "s,": 1}}})
+    assert not tokens.may_join({**spec, "added_tokens": [{"content": "stop!"}]})
+    assert not tokens.may_join({**spec, "model": {**model, "ignore_merges": True}})
+
+
+def test_nulls_and_nothing():
+    import pyarrow as pa
+
+    encoder = Encoder(tokenizer_path())
+    assert encoder.encode([]) == []
+    assert encoder.encode(pa.array(["a", None, ""])) == [encoder.plain("a"), b"", b""]
