@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexivane.functions.tables import numbered
 from lexivane.functions.text import tokenize
 
 
@@ -47,10 +48,17 @@ class NaiveBayes:
         best = F.max_by(F.col("label"), F.struct(F.round("p", 12), -F.col("label")))
         return self.probabilities(texts).groupBy("doc_id").agg(best.alias("predicted"))
 
-    def top_words(self, n: int = 10) -> DataFrame:
-        """(label, rank, term, cnt): each class's most frequent terms, ties by term."""
+    def top_words(self, n: int = 10, classes: int | None = None) -> DataFrame:
+        """(label, rank, term, cnt): each class's most frequent terms, ties by term.
+
+        With ``classes``, of so many classes with the most documents, ties by label.
+        """
         order = Window.partitionBy("label").orderBy(F.desc("cnt"), "term")
-        return self.terms.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+        terms = self.terms
+        if classes is not None:
+            largest = self.classes.orderBy(F.desc("n_docs"), "label").limit(classes).select("label")
+            terms = terms.join(F.broadcast(largest), "label", "left_semi")
+        return terms.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
 MAX_CLASSES = 10_000
@@ -68,6 +76,16 @@ def fit(texts: DataFrame, alpha: float = 1.0, tokenizer: Callable[[Column], Colu
     return NaiveBayes(classes, terms, terms.agg(F.count_distinct("term").alias("v")), alpha, tokenizer)
 
 
+def split(rows: DataFrame, fraction: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(training, testing) of rows with a ``doc_id``: a share, rounded half to even, at least one, is held out.
+
+    Which ones, the order of MD5 digests of seed and id decides.
+    """
+    placed = numbered(rows.withColumn("_draw", F.md5(F.concat_ws(":", F.lit(seed), "doc_id"))), "_draw", "doc_id").drop("_draw")
+    held = max(1, round(placed.count() * fraction))
+    return placed.where(F.col("place") > held).drop("place"), placed.where(F.col("place") <= held).drop("place")
+
+
 def majority(labels: DataFrame) -> DataFrame:
     """(label, n): the most frequent label, the least on ties."""
     return labels.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(1)

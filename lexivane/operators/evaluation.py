@@ -56,5 +56,7 @@ def grid_table(grid_metrics: DataFrame, k1s) -> DataFrame:
 
 
 def rmse(pairs: DataFrame) -> DataFrame:
-    """Root mean square error of (actual, predicted) rows."""
+    """Root mean square error of (actual, predicted) rows; none raise."""
+    if pairs.isEmpty():
+        raise ValueError("an error needs at least one pair")
     return pairs.agg(F.sqrt(F.avg(F.pow(F.col("predicted") - F.col("actual"), F.lit(2.0)))).alias("rmse"))

@@ -17,7 +17,7 @@ def paired(first: DataFrame, second: DataFrame) -> DataFrame:
     """(query_id, d) of two (query_id, score) tables with the same ids, else it raises."""
     a, b = first.select("query_id", F.col("score").alias("a")), second.select("query_id", F.col("score").alias("b"))
     rows = a.join(b, "query_id", "full_outer")
-    one = F.when(F.col("a").isNull() | F.col("b").isNull(), F.raise_error(F.lit("paired score mappings must contain the same query IDs")).cast("double"))
+    one = F.when(F.col("a").isNull() | F.col("b").isNull(), F.raise_error(F.lit("a query is scored on one side only")).cast("double"))
     return rows.select("query_id", one.otherwise(F.col("a") - F.col("b")).alias("d"))
 
 
@@ -112,10 +112,10 @@ def compare(first: DataFrame, second: DataFrame, seed: int = 42, resamples: int
     Differences, one a query of a labelled set, come to the driver for the tests.
     """
     if resamples < 1:
-        raise ValueError("resamples must be positive")
+        raise ValueError("at least one resample is needed")
     rows = paired(first, second).orderBy("query_id").collect()
     if len(rows) < 2:
-        raise ValueError("at least two paired queries are required")
+        raise ValueError("a paired test needs two queries or more")
     d = np.array([r["d"] for r in rows])
     n, mean = len(d), float(d.mean())
     counts = (int((d > 0).sum()), int((d < 0).sum()), int((d == 0).sum()))

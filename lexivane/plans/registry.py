@@ -67,11 +67,6 @@ def _interactions(spark, d, which: str = "true") -> DataFrame:
     return rows.select(F.col("o_custkey").cast("string").alias("user_id"), F.col("l_partkey").cast("string").alias("doc_id"), rating.alias("rating")).groupBy("user_id", "doc_id").agg(F.max("rating").alias("rating"))
 
 
-def _urgent_returns(spark, d) -> DataFrame:
-    """Short histories: first lines of urgent orders that came back."""
-    return _interactions(spark, d, "l_returnflag = 'R' AND l_linenumber = 1 AND o_orderpriority = '1-URGENT'")
-
-
 def _labelled(spark, d) -> DataFrame:
     docs, labels = spread(_table(spark, d, "documents")), _table(spark, d, "labels")
     return docs.join(labels, "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("quality").alias("label"))
@@ -339,11 +334,16 @@ def more_like_this(spark, d):
     return _show(vectors.similar_documents(_clustered(spark, d), wanted, K))
 
 
-# --- Naive Bayes: rows of an even id train, all are predicted ---
+# --- Naive Bayes: all labelled rows train; only nb_accuracy holds some out ---
+
+NB_SEED = 49
+_TEXTS = f"""x AS (SELECT doc_id::VARCHAR AS doc_id, quality AS label, {_tok('text')} AS terms FROM documents JOIN labels USING (doc_id))"""
+_HELD = f"""h AS (SELECT *, row_number() OVER (ORDER BY md5('{NB_SEED}:' || doc_id), doc_id) <= greatest(1, round_even(count(*) OVER () * 0.2::DOUBLE, 0)) AS test FROM x)"""
 
-_NB = f"""WITH x AS (SELECT doc_id::VARCHAR AS doc_id, doc_id % 2 = 0 AS train, quality AS label, {_tok('text')} AS terms FROM documents JOIN labels USING (doc_id)),
-c AS (SELECT label, count(*) AS n_docs, sum(len(terms)) AS n_tokens FROM x WHERE train GROUP BY label),
-t AS (SELECT label, term, count(*) AS cnt FROM (SELECT label, unnest(terms) AS term FROM x WHERE train) GROUP BY ALL),
+
+def _nb_sql(train: str) -> str:
+    return f"""c AS (SELECT label, count(*) AS n_docs, sum(len(terms)) AS n_tokens FROM {train} GROUP BY label),
+t AS (SELECT label, term, count(*) AS cnt FROM (SELECT label, unnest(terms) AS term FROM {train}) GROUP BY ALL),
 vs AS (SELECT count(DISTINCT term) AS v FROM t),
 e AS (SELECT doc_id, unnest(terms) AS term FROM x),
 sc AS (SELECT x.doc_id, c.label, ln(n_docs / (SELECT sum(n_docs) FROM c)::DOUBLE) + coalesce(sum(ln((coalesce(cnt, 0) + 1.0) / (n_tokens + v + 1))) FILTER (e.term IS NOT NULL), 0) AS score
@@ -351,44 +351,59 @@ sc AS (SELECT x.doc_id, c.label, ln(n_docs / (SELECT sum(n_docs) FROM c)::DOUBLE
 pr AS (SELECT doc_id, label, exp(score - max(score) OVER w) / sum(exp(score - m)) OVER w AS p FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS m FROM sc) WINDOW w AS (PARTITION BY doc_id))"""
 
 
+_NB = f"WITH {_TEXTS}, {_nb_sql('x')}"
+_NB_HELD = f"WITH {_TEXTS}, {_HELD}, tn AS (SELECT * FROM h WHERE NOT test), {_nb_sql('tn')}"
+
+
 def _nb(spark, d):
     rows = _labelled(spark, d)
-    even = F.col("doc_id").cast("long") % 2 == 0
-    return rows, rows.where(even), classify.fit(rows.where(even).select("text", "label"))
+    return rows, classify.fit(rows.select("text", "label"))
 
 
 @query(f"{_NB} SELECT label, n_docs, n_tokens::BIGINT AS n_tokens, v FROM c, vs")
 def nb_class_counts(spark, d):
-    model = _nb(spark, d)[2]
+    model = _nb(spark, d)[1]
     return model.classes.crossJoin(model.vocabulary)
 
 
 @query(f"{_NB} SELECT doc_id, label, round(p, 6) AS p FROM pr")
 def nb_predict(spark, d):
-    rows, _, model = _nb(spark, d)
+    rows, model = _nb(spark, d)
     return model.probabilities(rows.select("doc_id", "text")).select("doc_id", "label", _r6("p").alias("p"))
 
 
 @query(
-    f"""{_NB}, best AS (SELECT doc_id, label AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(p, 12) DESC, label) AS n FROM pr) WHERE n = 1),
+    f"""{_NB_HELD}, best AS (SELECT doc_id, label AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(p, 12) DESC, label) AS n FROM pr) WHERE n = 1),
 mj AS (SELECT label AS most FROM c ORDER BY n_docs DESC, label LIMIT 1)
-SELECT round(avg((predicted = label)::INT), 6) AS accuracy, round(avg((most = label)::INT), 6) AS majority_accuracy FROM best JOIN x USING (doc_id), mj WHERE NOT train"""
+SELECT round(avg((predicted = label)::INT), 6) AS accuracy, round(avg((most = label)::INT), 6) AS majority_accuracy FROM best JOIN h USING (doc_id), mj WHERE test"""
 )
 def nb_accuracy(spark, d):
-    rows, training, model = _nb(spark, d)
-    testing = rows.where(F.col("doc_id").cast("long") % 2 != 0)
+    training, testing = classify.split(_labelled(spark, d), seed=NB_SEED)
+    model = classify.fit(training.select("text", "label"))
     found = classify.accuracy(model.predict(testing.select("doc_id", "text")), testing.select("doc_id", "label"), training.select("label"))
     return found.select(*[_r6(c).alias(c) for c in found.columns])
 
 
+@query(f"WITH {_TEXTS}, {_HELD} SELECT doc_id, test FROM h")
+def nb_split(spark, d):
+    parts = classify.split(_labelled(spark, d).select("doc_id"), seed=NB_SEED)
+    return parts[0].withColumn("test", F.lit(False)).unionByName(parts[1].withColumn("test", F.lit(True)))
+
+
 @query(f"{_NB} SELECT label, n_docs AS n FROM c ORDER BY n_docs DESC, label LIMIT 1")
 def nb_majority(spark, d):
-    return classify.majority(_nb(spark, d)[1].select("label"))
+    return classify.majority(_labelled(spark, d).select("label"))
 
 
 @query(f"{_NB} SELECT label, term, cnt, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY cnt DESC, term) AS rank FROM t) WHERE rank <= {K}")
 def top_words(spark, d):
-    return _nb(spark, d)[2].top_words(K)
+    return _nb(spark, d)[1].top_words(K)
+
+
+@query(f"""{_NB} SELECT label, term, cnt, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY cnt DESC, term) AS rank FROM t)
+  WHERE rank <= {K} AND label = (SELECT label FROM c ORDER BY n_docs DESC, label LIMIT 1)""")
+def top_words_of_largest(spark, d):
+    return _nb(spark, d)[1].top_words(K, classes=1)
 
 
 # --- recommendations ---
@@ -410,9 +425,9 @@ def _items(spark, d) -> DataFrame:
     return _table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("doc_id")).distinct()
 
 
-@query(f"{_IX} SELECT doc_id, score FROM pop")
+@query(f"{_IX} SELECT items.doc_id, count(i.doc_id)::DOUBLE AS score FROM items LEFT JOIN i USING (doc_id) GROUP BY items.doc_id")
 def popularity(spark, d):
-    return recommend.popularity(_split(spark, d)[0], _items(spark, d))
+    return recommend.popularity(_interactions(spark, d), _items(spark, d))
 
 
 _POPULAR = f"""{_IX}, us AS (SELECT DISTINCT user_id FROM te),
@@ -430,27 +445,14 @@ def popularity_unseen(spark, d):
     return recommend.popular_unseen(_users(testing), training.select("user_id", "doc_id"), training, _items(spark, d), K)
 
 
-_ROUTE = """ret AS (SELECT o_custkey::VARCHAR AS user_id, l_partkey::VARCHAR AS doc_id, max(ceil(l_quantity / 10))::INT AS rating
-  FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND l_linenumber = 1 AND o_orderpriority = '1-URGENT' GROUP BY ALL),
-rt AS (SELECT user_id, CASE WHEN n >= 5 THEN 'matrix_factorization' WHEN n > 0 AND liked THEN 'content' ELSE 'popularity' END AS strategy
-  FROM (SELECT DISTINCT user_id FROM te) LEFT JOIN (SELECT user_id, count(*) AS n, bool_or(rating >= 4) AS liked FROM ret GROUP BY user_id) USING (user_id))"""
+_ROUTE = """rt AS (SELECT user_id, CASE WHEN n >= 5 THEN 'matrix_factorization' WHEN n > 0 AND liked THEN 'content' ELSE 'popularity' END AS strategy
+  FROM (SELECT DISTINCT user_id FROM te) LEFT JOIN (SELECT user_id, count(*) AS n, bool_or(rating >= 4) AS liked FROM tr GROUP BY user_id) USING (user_id))"""
 
 
 @query(f"{_IX}, {_ROUTE} SELECT user_id, strategy FROM rt")
 def route_strategy(spark, d):
-    testing = _split(spark, d)[1]
-    return recommend.route(testing.select("user_id"), _urgent_returns(spark, d))
-
-
-@query(
-    f"""{_POPULAR}, {_ROUTE}, hits AS (SELECT rk.user_id, count(*) AS hits FROM rk JOIN te ON te.user_id = rk.user_id AND te.doc_id = rk.doc_id AND te.rating >= 4 GROUP BY rk.user_id)
-SELECT strategy, round(avg(coalesce(hits, 0) / {K}::DOUBLE), 6) AS precision FROM rt LEFT JOIN hits USING (user_id) GROUP BY strategy"""
-)
-def strategy_precision(spark, d):
     training, testing = _split(spark, d)
-    ranked = recommend.popular_unseen(_users(testing), training.select("user_id", "doc_id"), training, _items(spark, d), K)
-    routed = recommend.route(testing.select("user_id"), _urgent_returns(spark, d))
-    return recommend.strategy_precision(ranked, routed, testing, K).select("strategy", _r6("precision").alias("precision"))
+    return recommend.route(testing.select("user_id"), training)
 
 
 _READ = """hist AS (SELECT DISTINCT source AS user_id, doc_id::VARCHAR AS doc_id, (1 + n_chars % 5)::INT AS rating FROM documents)"""
@@ -546,6 +548,46 @@ def rmse(spark, d):
     return evaluation.rmse(rows).select(_r6("rmse").alias("rmse"))
 
 
+# Item vectors of two equal terms, brand and type.
+_ROUTED = f"""{_POPULAR}, {_ROUTE}, mu AS (SELECT avg(rating) AS mu FROM tr),
+pv AS (SELECT DISTINCT p_partkey::VARCHAR AS doc_id, unnest([p_brand, p_type]) AS term, sqrt(0.5::DOUBLE) AS w FROM part),
+ps AS (SELECT user_id, term, sum(w) AS x FROM tr JOIN pv USING (doc_id) JOIN rt USING (user_id) WHERE rating >= 4 AND strategy = 'content' GROUP BY ALL),
+pf AS (SELECT user_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY user_id)) AS w FROM ps),
+cs AS (SELECT user_id, doc_id, sum(pf.w * pv.w) AS x FROM pf JOIN pv USING (term) GROUP BY ALL),
+un AS (SELECT user_id, strategy, items.doc_id FROM rt, items WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.user_id = rt.user_id AND tr.doc_id = items.doc_id)),
+sr AS (SELECT user_id, strategy, doc_id, round(CASE strategy WHEN 'matrix_factorization' THEN least(greatest(mu + {_bias('user_id')} + {_bias('doc_id')} + {_dot}, 1.0), 5.0)
+  WHEN 'content' THEN CASE WHEN user_id IN (SELECT user_id FROM pf) THEN coalesce(x, 0) ELSE pop.score END ELSE pop.score END, 9) AS score
+  FROM un JOIN pop USING (doc_id) LEFT JOIN cs USING (user_id, doc_id), mu),
+rr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, doc_id) AS rank FROM sr) WHERE rank <= {K})"""
+
+
+def _routed(spark, d):
+    training, testing = _split(spark, d)
+    rows, users, items, _ = _mf(spark, d)
+    del rows
+    mean = training.agg(F.avg("rating")).first()[0]
+    every = _parameters(_items(spark, d), "doc_id")
+    model = factorization.Model(users, every, mean, [], [])
+    parts = _table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.explode(F.array("p_brand", "p_type")).alias("term"), F.sqrt(F.lit(0.5)).alias("w")).distinct()
+    return training, testing, recommend.recommend(_users(testing), training, training, _items(spark, d), parts, model, K)
+
+
+@query(f"{_ROUTED} SELECT user_id, strategy, doc_id, rank::INT AS rank FROM rr")
+def routed_recommend(spark, d):
+    """Every test user's list by the user's own route; model parameters are arithmetic of the ids."""
+    return _routed(spark, d)[2].select("user_id", "strategy", "doc_id", "rank")
+
+
+@query(
+    f"""{_ROUTED}, hits AS (SELECT rr.user_id, count(*) AS hits FROM rr JOIN te ON te.user_id = rr.user_id AND te.doc_id = rr.doc_id AND te.rating >= 4 GROUP BY rr.user_id)
+SELECT strategy, round(avg(coalesce(hits, 0) / {K}::DOUBLE), 6) AS precision FROM rt LEFT JOIN hits USING (user_id) GROUP BY strategy"""
+)
+def strategy_precision(spark, d):
+    training, testing, ranked = _routed(spark, d)
+    routed = recommend.route(testing.select("user_id"), training)
+    return recommend.strategy_precision(ranked, routed, testing, K).select("strategy", _r6("precision").alias("precision"))
+
+
 _square = " + ".join(f"{_factor(c, j)} ** 2" for c in ("user_id", "doc_id") for j in range(_FACTORS))
 
 
@@ -599,13 +641,26 @@ def spherical_kmeans(spark, d):
     return cluster.spherical_kmeans(vectors.document_vectors(ix), ix.docs)[0]
 
 
-@query()
+_DRAWS = 600
+_digest = lambda *keys: "('0x' || substr(md5(" + " || ':' || ".join(keys) + "), 1, 15))::BIGINT"
+
+
+@query(
+    f"""{_IX}, ni AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place FROM items),
+dr AS (SELECT user_id, {_digest("'42'", "user_id", "j::VARCHAR")} % (SELECT count(*) FROM items) + 1 AS place, min(j) AS j
+  FROM (SELECT DISTINCT user_id FROM te), range(1, {_DRAWS}) v(j) GROUP BY ALL)
+SELECT user_id, doc_id, 0.0::DOUBLE AS score, rank::INT AS rank FROM (SELECT user_id, doc_id, row_number() OVER (PARTITION BY user_id ORDER BY j) AS rank
+  FROM dr JOIN ni USING (place) WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.user_id = dr.user_id AND tr.doc_id = ni.doc_id)) WHERE rank <= {K}"""
+)
 def random_recommend(spark, d):
     training, testing = _split(spark, d)
     return recommend.random_unseen(_users(testing), training.select("user_id", "doc_id"), _items(spark, d), K)
 
 
-@query()
+@query(
+    f"""{_IX}, n AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY md5('42:' || user_id || ':' || doc_id), doc_id) AS place FROM i)
+SELECT user_id, doc_id, rating, CASE WHEN place <= CASE WHEN n < 2 THEN 0 ELSE least(n - 1, greatest(1, round_even(n * 0.2::DOUBLE, 0))) END THEN 'test' ELSE 'train' END AS part FROM n"""
+)
 def random_split(spark, d):
     training, testing = recommend.split_by_user(_interactions(spark, d))
     return training.withColumn("part", F.lit("train")).unionByName(testing.withColumn("part", F.lit("test")))

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexivane.functions.tables import numbered
 from lexivane.functions.text import tokenizer
-from lexivane.operators import classify, cluster, factorization, recommend, synthetic, vectors
+from lexivane.operators import classify, cluster, evaluation, factorization, recommend, synthetic, vectors
 from lexivane.operators.index import build_index
 
 PLAIN = tokenizer(())
@@ -149,6 +150,72 @@ def test_random_is_seeded_and_unseen(spark):
     assert recommend.random_unseen(users, seen, items, 0).count() == 0
 
 
+def test_random_draws_until_nobody_is_short(spark):
+    """A user who has seen all but a few items gets those; one who has seen all gets none."""
+    items = ids(spark, [f"d{k:03d}" for k in range(300)])
+    rows = [("most", f"d{k:03d}", 3) for k in range(300) if k not in (7, 200, 299)] + [("all", f"d{k:03d}", 3) for k in range(300)] + [("few", "d001", 3)]
+    seen = ratings(spark, rows).select("user_id", "doc_id")
+    users = ids(spark, ["most", "all", "few", "new"], "user_id")
+    got = {}
+    for r in recommend.random_unseen(users, seen, items, 10, 3).orderBy("user_id", "rank").collect():
+        got.setdefault(r["user_id"], []).append(r["doc_id"])
+    assert sorted(got["most"]) == ["d007", "d200", "d299"] and "all" not in got
+    assert len(set(got["few"])) == len(set(got["new"])) == 10 and got["few"] != got["new"] and "d001" not in got["few"]
+    # Each by itself as in company.
+    alone = recommend.random_unseen(users.where("user_id = 'few'"), seen, items, 10, 3).orderBy("rank").collect()
+    assert [r["doc_id"] for r in alone] == got["few"]
+
+
+def test_blocks_of_items_give_the_same_lists(spark, monkeypatch):
+    items, users = ids(spark, [f"d{k:02d}" for k in range(23)]), ids(spark, ["a", "b", "c"], "user_id")
+    rows = ratings(spark, [("a", "d01", 5), ("a", "d02", 1), ("b", "d03", 4), ("c", "d22", 2)])
+    model = factorization.fit(rows, factorization.Settings(n_factors=2, epochs=1), item_ids=[f"d{k:02d}" for k in range(23)])
+    run = lambda: [tuple(r) for r in recommend.factor_unseen(users, rows.select("user_id", "doc_id"), items, model, 6).orderBy("user_id", "rank").collect()]
+    whole = run()
+    monkeypatch.setattr(recommend, "BLOCK_ITEMS", 7)
+    assert run() == whole and len(whole) == 18
+
+
+def test_unknown_ids_and_empty_errors_raise(spark):
+    rows = ratings(spark, [("u", "d", 5), ("v", "e", 2)])
+    model = factorization.fit(rows, factorization.Settings(n_factors=2, epochs=1))
+    for bad in (("x", "d", 1), ("u", "x", 1)):
+        with pytest.raises(Exception, match="unknown"):
+            model.predict(ratings(spark, [bad])).collect()
+    with pytest.raises(Exception, match="unknown"):
+        recommend.factor_unseen(ids(spark, ["u"], "user_id"), rows.select("user_id", "doc_id"), ids(spark, ["x"]), model, 3).collect()
+    with pytest.raises(ValueError):
+        evaluation.rmse(spark.createDataFrame([], "actual double, predicted double"))
+    twice = spark.createDataFrame([("d1", 0), ("d1", 1)], "doc_id string, topic int")
+    with pytest.raises(ValueError):
+        recommend.align_topics(ids(spark, ["d1"]), twice)
+
+
+def test_numbers_follow_the_order(spark):
+    rows = spark.createDataFrame([((k * 7919) % 5000, k % 3) for k in range(5000)], "a int, b int").repartition(7)
+    got = sorted((r["place"], r["a"]) for r in numbered(rows, "a").collect())
+    assert got == [(k + 1, k) for k in range(5000)]
+    down = {r["a"]: r["place"] for r in numbered(rows, F.desc("a")).collect()}
+    assert down[4999] == 1 and down[0] == 5000
+    equal = spark.range(5000).selectExpr("1 as a", "id")
+    assert sorted(r["place"] for r in numbered(equal, "a", "id").collect()) == list(range(1, 5001))
+    assert numbered(rows.where("false"), "a").count() == 0
+
+
+def test_document_split(spark):
+    rows = spark.createDataFrame([(f"d{k}", f"text {k}") for k in range(12)], "doc_id string, text string")
+    train, test = classify.split(rows, 0.2, 5)
+    assert test.count() == 2 and train.count() == 10 and train.columns == rows.columns
+    assert {r[0] for r in test.collect()} == {r[0] for r in classify.split(rows.repartition(3), 0.2, 5)[1].collect()}
+
+
+def test_words_of_the_largest_classes(spark):
+    rows = [("a a b", 0), ("c", 1), ("c d", 1), ("e", 2), ("f", 2)]
+    model = classify.fit(spark.createDataFrame(rows, "text string, label int"), tokenizer=PLAIN)
+    got = [(r["label"], r["term"]) for r in model.top_words(1, classes=2).orderBy("label").collect()]
+    assert got == [(1, "c"), (2, "e")]
+
+
 def test_compare_strategies(spark):
     training = ratings(spark, [("u1", "d1", 5), ("u1", "d2", 2), ("u2", "d1", 4), ("u2", "d3", 5), ("u3", "d3", 1), ("u3", "d4", 4)])
     testing = ratings(spark, [("u1", "d3", 5), ("u2", "d2", 4), ("u3", "d1", 2)])
