@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivane.llm.common import column_or_null, written
-from lexivane.llm.tokens import Encoder
+from lexivane.llm.tokens import Encoder, spelled
 
 START, END = "<|im_start|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
@@ -56,15 +56,21 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
-def token_bytes(path: str) -> list[bytes]:
-    """The bytes of every id of a byte-level vocabulary, whose tokens spell bytes as letters."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-    vocabulary = Encoder.of(path).model.get_vocab(with_added_tokens=False)
-    out = [b""] * (max(vocabulary.values()) + 1)
-    for token, i in vocabulary.items():
-        out[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-    return out
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of every id of a byte-level vocabulary, flat, where each id's begin, and how many they are.
+
+    The two ids beyond the vocabulary, the control marks, have none.
+    """
+    encoder = Encoder.of(path)
+    if not encoder.by_words:
+        raise ValueError("only a plain byte-level tokenizer spells texts byte by byte")
+    letters = {c: b for b, c in enumerate(spelled(bytes(range(256))))}
+    special = {x.content for x in encoder.model.get_added_tokens_decoder().values()}
+    out = [b""] * (len(encoder.length) + 2)
+    for token, i in encoder.model.get_vocab(with_added_tokens=True).items():
+        out[i] = token.encode() if token in special else bytes(letters[c] for c in token)
+    lengths = np.array([len(x) for x in out], dtype=np.int64)
+    return np.frombuffer(b"".join(out), dtype=np.uint8), np.cumsum(lengths) - lengths, lengths
 
 
 class _Shard:
@@ -73,39 +79,65 @@ class _Shard:
     def __init__(self, number: int):
         self.number, self.size, self.nodes, self.path = number, 0, 0, []
 
-    def add(self, turn: tuple[str, str], tokens: np.ndarray, mask: np.ndarray) -> tuple:
+    def add(self, turn: tuple[str, str], tokens: np.ndarray, mask: np.ndarray) -> list:
         above = self.path[-1] if self.path else None
-        attends = []
-        for p in self.path:
-            if attends and attends[-1][1] == p["start"]:
-                attends[-1] = (attends[-1][0], p["end"])
-            else:
-                attends.append((p["start"], p["end"]))
+        attends = _follow(above["attends"], above["start"], above["end"]) if above else []
         at = above["position"] if above else 0
-        node = {"turn": turn, "tokens": tokens, "mask": mask, "node": self.nodes, "start": self.size, "end": self.size + len(tokens), "position": at + len(tokens)}
-        row = [self.number, node["node"], above["node"] if above else None, self.size, np.arange(at, at + len(tokens), dtype=np.int32), tokens, mask, [{"start": a, "end": b} for a, b in attends], None]
+        node = {"turn": turn, "tokens": tokens, "mask": mask, "node": self.nodes, "start": self.size, "end": self.size + len(tokens), "position": at + len(tokens), "attends": attends}
+        row = [self.number, node["node"], above["node"] if above else None, self.size, at, tokens, mask, attends, None]
         self.path.append(node)
         self.size, self.nodes = node["end"], self.nodes + 1
         return row
 
 
+def _follow(intervals: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int]]:
+    """The intervals with one more behind them; what touches is one."""
+    if intervals and intervals[-1][1] == start:
+        return [*intervals[:-1], (intervals[-1][0], end)]
+    return [*intervals, (start, end)]
+
+
+def _lists(values: pa.Array, lengths: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]), pa.int32()), values)
+
+
+def _batch(rows: list[list]) -> pa.RecordBatch:
+    sizes = [len(r[5]) for r in rows]
+    tokens = np.concatenate([r[5] for r in rows])
+    ends = np.cumsum(sizes)
+    positions = np.arange(len(tokens)) - np.repeat(ends - sizes - [r[4] for r in rows], sizes)
+    intervals = [x for r in rows for x in r[7]]
+    span = pa.StructArray.from_arrays([pa.array([x[0] for x in intervals], pa.int64()), pa.array([x[1] for x in intervals], pa.int64())], ["start", "end"])
+    columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)]
+    columns += [_lists(pa.array(positions, pa.int32()), sizes), _lists(pa.array(tokens, pa.int32()), sizes), _lists(pa.array(np.concatenate([r[6] for r in rows])), sizes)]
+    columns += [_lists(span, [len(r[7]) for r in rows]), pa.array([r[8] for r in rows], pa.string())]
+    return pa.RecordBatch.from_arrays(columns, ["shard", "node", "parent", "start", "position_ids", "tokens", "loss_mask", "attends", "conversation"])
+
+
 def _build(tokenizer: str, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encoder = Encoder.of(tokenizer)
-        controls = len(encoder.length)
-        first = TaskContext.get().partitionId() << 24
-        shard = _Shard(first)
-
-        def emit(rows):
-            flat = lambda i, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[i]) for r in rows)]), pa.int32()), pa.array(np.concatenate([r[i] for r in rows]), kind))
-            columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)] + [flat(4, pa.int32()), flat(5, pa.int32()), flat(6, pa.bool_())]
-            columns += [pa.array([r[7] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([r[8] for r in rows], pa.string())]
-            return pa.RecordBatch.from_arrays(columns, ["shard", "node", "parent", "start", "position_ids", "tokens", "loss_mask", "attends", "conversation"])
+        controls, line_end = len(encoder.length), encoder.plain("\n")
+        ids = lambda raw: np.frombuffer(raw, dtype=encoder.kind).astype(np.int32)
+        tail = np.concatenate([[controls + 1], ids(line_end)]).astype(np.int32)
+        heads: dict[str, np.ndarray] = {}
+        shard = _Shard(TaskContext.get().partitionId() << 24)
+
+        def head_of(role: str) -> np.ndarray:
+            if len(heads) > 10_000:
+                heads.clear()
+            if role not in heads:
+                heads[role] = np.concatenate([[controls], ids(encoder.plain(escape_role(role) + "\n"))]).astype(np.int32)
+            return heads[role]
 
         for batch in batches:
-            keys, talks = batch.column(0).to_pylist(), [[(t["role"], t["text"]) for t in x] for x in batch.column(1).to_pylist()]
+            turns = batch.column(1)
+            flat = turns.flatten()
+            pairs = list(zip(flat.field(0).to_pylist(), flat.field(1).to_pylist(), strict=True))
+            ends = np.cumsum([0, *turns.value_lengths().to_pylist()]).tolist()
+            talks = [pairs[a:b] for a, b in zip(ends, ends[1:], strict=False)]
             last, new = [p["turn"] for p in shard.path], []
             for talk in talks:
                 same = 0
@@ -114,32 +146,34 @@ def _build(tokenizer: str, shard_tokens: int):
                 new.append(same)
                 last = talk
             fresh = [t for talk, same in zip(talks, new, strict=True) for t in talk[same:]]
-            heads, bodies = encoder.encode([escape_role(r) + "\n" for r, _ in fresh]), encoder.encode([escape(x) for _, x in fresh])
-            line_end = encoder.plain("\n")
-            ids = lambda raw: np.frombuffer(raw, dtype=f"<u{encoder.width}").astype(np.int32)
-            at, rows = 0, []
-            for key, talk, same in zip(keys, talks, new, strict=True):
+            bodies = encoder.encode([escape(x) for _, x in fresh])
+            parts = [x for (role, _), body in zip(fresh, bodies, strict=True) for x in (head_of(role), ids(body), tail)]
+            lengths = np.array([len(x) for x in parts], dtype=np.int64).reshape(-1, 3)
+            trained = np.zeros(lengths.shape, dtype=bool)
+            trained[:, 1] = [role == TRAINED_ROLE for role, _ in fresh]
+            tokens = np.concatenate(parts) if parts else tail[:0]
+            mask = np.repeat(trained.ravel(), lengths.ravel())
+            stops = np.cumsum(lengths.sum(axis=1)).tolist()
+            at, first, rows = 0, 0, []
+            for key, talk, same in zip(batch.column(0).to_pylist(), talks, new, strict=True):
                 if shard.size >= shard_tokens:
                     kept = shard.path[:same]
                     shard = _Shard(shard.number + 1)
                     rows += [shard.add(p["turn"], p["tokens"], p["mask"]) for p in kept]
                 del shard.path[same:]
                 for turn in talk[same:]:
-                    head, body = ids(heads[at]), ids(bodies[at])
-                    at += 1
-                    tokens = np.concatenate([[controls], head, body, [controls + 1], ids(line_end)]).astype(np.int32)
-                    mask = np.zeros(len(tokens), dtype=bool)
-                    mask[1 + len(head) : 1 + len(head) + len(body)] = turn[0] == TRAINED_ROLE
-                    rows.append(shard.add(turn, tokens, mask))
-                    if len(rows) >= 2_000:
-                        if len(talk) == len(shard.path):
-                            rows[-1][8] = key
-                        yield emit(rows)
-                        rows = []
+                    rows.append(shard.add(turn, tokens[first : stops[at]], mask[first : stops[at]]))
+                    first, at = stops[at], at + 1
+                # Sorted, a conversation stands before those that go on from it: its last node is new.
                 if rows:
                     rows[-1][8] = rows[-1][8] or key
+                if len(rows) >= 2_000:
+                    yield _batch(rows)
+                    rows = []
             if rows:
-                yield emit(rows)
+                yield _batch(rows)
+            for p in shard.path:  # views would keep the whole batch
+                p["tokens"], p["mask"] = p["tokens"].copy(), p["mask"].copy()
 
     return run
 
@@ -165,37 +199,66 @@ def prefix_tree(talks: DataFrame, tokenizer: str, shard_tokens: int = SHARD_TOKE
     return written(sorted_.mapInArrow(_build(tokenizer, shard_tokens), NODES), "chat-tree")
 
 
+def _ends(column: pa.ListArray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
+def _spelled_rows(batch: pa.RecordBatch, table) -> Iterator[tuple[bytes, bytes]]:
+    """Of each node the bytes of all its tokens but the marks, and of those under the loss mask; positions are checked."""
+    flat, start, length = table
+    tokens, at = batch.column(5).flatten().to_numpy(), _ends(batch.column(5))
+    spans, span_at = batch.column(7).flatten(), _ends(batch.column(7))
+    width = np.concatenate([[0], np.cumsum(spans.field(1).to_numpy() - spans.field(0).to_numpy())])
+    seen = np.diff(width[span_at])
+    if (batch.column(4).flatten().to_numpy() != np.arange(len(tokens)) - np.repeat(at[:-1] - seen, np.diff(at))).any():
+        raise ValueError("positions don't follow the attended intervals")
+    marks = len(length) - 2
+    closing = np.flatnonzero(tokens == marks + 1)
+    if (tokens[at[:-1]] != marks).any() or (tokens == marks).sum() != len(seen) or len(closing) != len(seen) or (closing <= at[:-1]).any() or (closing >= at[1:]).any():
+        raise ValueError("a turn isn't marked")
+    own = length[tokens]
+    ends = np.concatenate([[0], np.cumsum(own)])
+    raw = flat[np.repeat(start[tokens] - ends[:-1], own) + np.arange(ends[-1])]
+    mask = batch.column(6).flatten().to_numpy(zero_copy_only=False)
+    trained = raw[np.repeat(mask, own)].tobytes()
+    trained_ends = np.concatenate([[0], np.cumsum(own * mask)])[at].tolist()
+    raw, ends, closing = raw.tobytes(), ends.tolist(), closing.tolist()
+    for i, (a, c) in enumerate(zip(at.tolist(), closing, strict=False)):
+        if raw[ends[c] : ends[at[i + 1]]] != b"\n":
+            raise ValueError("a turn doesn't end its line")
+        yield raw[ends[a] : ends[c]], trained[trained_ends[i] : trained_ends[i + 1]]
+
+
 def _read(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell = token_bytes(tokenizer)
-        controls = len(Encoder.of(tokenizer).length)
+        table = token_bytes(tokenizer)
         shard, path = None, []
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                if r["shard"] != shard:
-                    shard, path = r["shard"], []
-                while path and path[-1]["node"] != r["parent"]:
+            named = [batch.column(i).to_pylist() for i in (0, 1, 2, 3, 8)]
+            spans, span_at = batch.column(7).flatten(), _ends(batch.column(7)).tolist()
+            intervals = list(zip(spans.field(0).to_pylist(), spans.field(1).to_pylist(), strict=True))
+            sizes = batch.column(5).value_lengths().to_pylist()
+            for i, (number, node, parent, start, key, (turn, loss)) in enumerate(zip(*named, _spelled_rows(batch, table), strict=True)):
+                if number != shard:
+                    shard, path = number, []
+                while path and path[-1]["node"] != parent:
                     path.pop()
-                seen = sum(x["end"] - x["start"] for x in r["attends"])
-                if r["position_ids"][0] != seen or (path[-1]["tokens"] if path else 0) != seen:
-                    raise ValueError("positions don't follow the attended intervals")
-                tokens = r["tokens"]
-                if tokens[0] != controls or tokens[-2] != controls + 1:
-                    raise ValueError("a turn isn't marked")
-                role, _, text = b"".join(spell[i] for i in tokens[1:-2]).decode().partition("\n")
-                loss = unescape(b"".join(spell[i] for i, m in zip(tokens, r["loss_mask"], strict=True) if m).decode())
-                above = path[-1] if path else {"turns": hashlib.sha256(), "loss": hashlib.sha256(), "n": 0, "loss_chars": 0, "chars": 0}
+                above = path[-1] if path else {"turns": hashlib.sha256(), "loss": hashlib.sha256(), "n": 0, "loss_chars": 0, "chars": 0, "seen": []}
+                if intervals[span_at[i] : span_at[i + 1]] != above["seen"]:
+                    raise ValueError("the attended intervals aren't the ancestors'")
+                role, _, text = turn.decode().partition("\n")
+                said = unescape(loss.decode())
                 turns, losses = above["turns"].copy(), above["loss"].copy()
                 turns.update(f"{unescape_role(role)}\n{unescape(text)}\n".encode())
-                losses.update(loss.encode())
+                losses.update(said.encode())
                 chars = len(START) + len(role) + 1 + len(text) + len(END) + 1
-                path.append({"node": r["node"], "tokens": seen + len(tokens), "turns": turns, "loss": losses, "n": above["n"] + 1, "loss_chars": above["loss_chars"] + len(loss), "chars": above["chars"] + chars})
-                if r["conversation"]:
-                    p = path[-1]
-                    out.append((r["conversation"], p["n"], turns.hexdigest(), p["loss_chars"], losses.hexdigest(), p["chars"]))
+                here = {"node": node, "seen": _follow(above["seen"], start, start + sizes[i]), "turns": turns, "loss": losses, "n": above["n"] + 1, "loss_chars": above["loss_chars"] + len(said), "chars": above["chars"] + chars}
+                path.append(here)
+                if key:
+                    out.append((key, here["n"], turns.hexdigest(), here["loss_chars"], losses.hexdigest(), here["chars"]))
             if out:
-                kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     return run
