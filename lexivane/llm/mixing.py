@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexivane.functions.tables import numbered
 from lexivane.llm.common import column_or_null, word_count, written
 
 #: Rows of a block of the first round, on average, and residuals of a block of the later ones.
@@ -29,6 +30,8 @@ BLOCK_ROWS, FAN_IN = 2_000, 64
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A target is this many times its source's size at most.
 MAX_REPEATS = 3
+#: Equal rows that are numbered at once.
+PART_ROWS = 65_536
 #: Up to so many sources are sent to every executor; beyond, they are joined.
 BROADCAST_SOURCES = 20_000
 
@@ -75,54 +78,62 @@ def _rounds(seed: int, level: int, last: bool):
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, max_repeats: float = MAX_REPEATS) -> DataFrame:
-    """Per source: ``source_size``, rows ``n``, and ``target`` words.
+    """Per source: ``source_size``, rows ``n``, and ``target`` words, of rows (source, size, m); m equal rows are one.
 
     Sources in code point order, null last, weigh ``weights``, repeating, and share the
     size of all. A target above ``max_repeats`` times its source's size is cut to that
-    and the excess reshared by weight. Sorted by capacity per weight, the cut sources
-    come first, so one running sum finds the level at which the rest share.
+    and the excess reshared by weight: the level words / weight of the sources that
+    aren't cut is raised until no further source is. Each round is one aggregate, so the
+    number of sources doesn't matter.
     """
-    stats = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    ranked = stats.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (nth % len(weights) + 1).cast("int")))
-    ranked = ranked.withColumn("room", F.col("source_size") * float(max_repeats)).withColumn("at", F.col("room") / F.col("weight"))
-    order = Window.orderBy("at", F.col("source").asc_nulls_last())
-    all_rows = Window.partitionBy()
-    level = (F.sum("source_size").over(all_rows) - F.coalesce(F.sum("room").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    leveled = ranked.withColumn("level", level)
-    # The first source that isn't cut; of equal ones the first has the highest level.
-    free = -F.min(F.when(F.col("level") < F.col("at"), F.struct("at", (-F.col("level")).alias("down")))).over(all_rows)["down"]
-    target = F.coalesce(F.least(F.col("room"), F.col("weight") * free), F.col("room"))
-    return leveled.select("source", "source_size", "n", target.alias("target"))
+    stats = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.sum("m").alias("n"))
+    ranked = numbered(stats, F.col("source").asc_nulls_last())
+    ranked = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("place") - 1) % len(weights) + 1).cast("int")))
+    ranked = written(ranked.withColumn("room", F.col("source_size") * float(max_repeats)), "mix-sources")
+    level, cut = 0.0, -1
+    while True:
+        full = F.col("room") <= F.col("weight") * level if cut >= 0 else F.lit(False)
+        now = ranked.agg(F.count_if(full).alias("cut"), F.sum(F.when(full, F.col("room"))).alias("taken"), F.sum(F.when(~full, F.col("weight"))).alias("weight"), F.sum("source_size").alias("all")).first()
+        if now["cut"] == cut or not now["weight"]:
+            break
+        cut, level = now["cut"], (float(now["all"]) - (now["taken"] or 0.0)) / now["weight"]
+    target = F.least(F.col("room"), F.col("weight") * level) if now["weight"] else F.col("room")
+    return ranked.select("source", "source_size", "n", target.alias("target"))
 
 
 def plan_copies(sized: DataFrame, seed: int = 7, weights=WEIGHTS, max_repeats: float = MAX_REPEATS) -> DataFrame:
     """How often each row is taken.
 
     In: ``key`` (long, may repeat or be null), ``size`` (words), ``source``. Out: these,
-    ``source_size``, ``target`` and ``copies`` (int). Equal rows are rounded on their
-    own. Rows of size 0 carry no mass and are taken the certain number of times.
-    Reruns over the same rows agree: draws depend on keys and sizes only.
+    ``source_size``, ``target`` and ``copies`` (int). Equal rows are counted first and
+    then numbered, so that each is rounded on its own in a block of its own draw and many
+    of them spread like any others. Rows of size 0 carry no mass, and rows without a
+    fraction need no rounding: neither goes through the blocks. Reruns over the same rows
+    agree: draws depend on keys, sizes and numbers only.
     """
-    sized = written(sized.select("key", "size", "source"), "mix-sizes")
-    targets = written(source_targets(sized, weights, max_repeats), "mix-targets")
+    equal = written(sized.groupBy("key", "size", "source").agg(F.count("*").alias("m")), "mix-sizes")
+    targets = written(source_targets(equal, weights, max_repeats), "mix-targets")
     few = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     per = targets.select(F.col("source").alias("_source"), "source_size", "n", "target")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = sized.join(F.broadcast(per) if few else per, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rows = equal.join(F.broadcast(per) if few else per, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumn("base", F.floor(expected)).withColumn("p", F.when(F.col("size") > 0, expected - F.col("base")).otherwise(F.lit(0.0)))
     blocks = F.ceil(F.col("n") / BLOCK_ROWS)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "key", "size"), blocks)).withColumn("tie", F.lit(0).cast("long"))
+    # Numbers of many equal rows are made in parts that any task may take.
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / PART_ROWS)))).repartition("key", "part")
+    rows = rows.withColumn("tie", F.explode(F.sequence(F.col("part") * PART_ROWS + 1, F.least(F.col("m"), (F.col("part") + 1) * PART_ROWS))))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "key", "size", "tie"), blocks))
     rows = rows.select("key", "size", "source", "source_size", "target", "base", "p", "block", "tie")
+    is_open = (F.col("p") > 0) & (F.col("p") < 1)
+    done, level = [rows.where(~is_open)], 0
+    rows = rows.where(is_open)
     most = targets.agg(F.max(F.ceil(F.col("n") / BLOCK_ROWS))).first()[0] or 1
-    done, level = [], 0
     while True:
         last = most <= 1
         settled = written(rows.groupBy("source", "block").applyInPandas(_rounds(seed, level, last), rows.schema), f"mix-round{level}")
         if last:
             done.append(settled)
             break
-        is_open = (F.col("p") > 0) & (F.col("p") < 1)
         done.append(settled.where(~is_open))
         rows = settled.where(is_open).withColumn("block", F.floor(F.col("block") / FAN_IN))
         most, level = -(-most // FAN_IN), level + 1
@@ -136,15 +147,28 @@ def mix(docs: DataFrame, seed: int = 7, weights=WEIGHTS, max_repeats: float = MA
     """``docs`` with every row repeated as often as the mix takes it, none if 0 times.
 
     The plan is made from (row hash, size, source) only; texts move once, in the join
-    that brings the copies back. Equal rows are told apart by their number among equals.
-    Null texts have size 0; a null source is a source of its own; a table without a
-    ``source`` column is one source. Empty tables give no rows.
+    that brings the copies back. Rows that share id, text and source and are taken
+    unequally often are told apart by the hash of the whole row; those that are equal
+    in every column are counted, not listed. Null texts have size 0; a null source is a
+    source of its own; a table without a ``source`` column is one source. Empty tables
+    give no rows.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     source = column_or_null(docs, "source", "string")
     keyed = docs.select(row, F.xxhash64(column_or_null(docs, "doc_id", "string"), F.coalesce(column_or_null(docs, "text", "string"), F.lit("")), source).alias("key"), word_count(column_or_null(docs, "text", "string")).alias("size"), source.alias("source"))
     plan = plan_copies(keyed.select("key", "size", "source"), seed, weights, max_repeats)
-    times = written(plan.groupBy("key").agg(F.sort_array(F.collect_list("copies")).alias("times")), "mix-plan")
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))
-    joined = keyed.select("key", "row").join(times, "key").withColumn("nth", F.when(F.size("times") > 1, nth).otherwise(F.lit(1)))
-    return joined.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.get("times", F.col("nth") - 1)))).select("row.*")
+    counts = plan.groupBy("key", "copies").agg(F.count("*").alias("n"))
+    # Rows of a key share a source, so they are taken ``least`` or ``least + 1`` times.
+    per = counts.groupBy("key").agg(F.min("copies").alias("least"), F.count("*").alias("kinds"), F.min_by("n", -F.col("copies")).alias("more"))
+    per = written(per, "mix-plan")
+    repeat = lambda df, n: df.where(n > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), n))).select("row.*")
+    slim = keyed.select("key", "row")
+    out = repeat(slim.join(per.where("kinds = 1"), "key"), F.col("least"))
+    mixed = per.where("kinds > 1")
+    if mixed.isEmpty():
+        return out
+    equal = slim.join(mixed, "key").groupBy("key", "row", "least", "more").agg(F.count("*").alias("m"))
+    order = Window.partitionBy("key").orderBy(F.xxhash64("row"), F.to_json("row")).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("m").over(order), F.lit(0))
+    extra = F.least(F.col("m"), F.greatest(F.col("more") - before, F.lit(0)))
+    return out.unionByName(repeat(equal.withColumn("times", F.col("least") * F.col("m") + extra), F.col("times")))
