@@ -24,6 +24,8 @@ from lexivane.llm.common import column_or_null, written
 WIDTH = 13
 #: Windows in one broadcast block, some 200 bytes each.
 BLOCK_WINDOWS = 100_000
+#: And so many bytes for each, which only very long words reach.
+WINDOW_BYTES = 400
 #: ASCII letters to lower case, other ASCII but digits to a space; the rest stays.
 TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
 _BASE = 0x9E3779B97F4A7C15
@@ -120,15 +122,26 @@ def _scan(block):
 SCHEMA = "key {key}, n_words long, runs array<struct<start:long,end:long>>, items array<string>"
 
 
-def _blocks(benchmark: DataFrame, width: int, limit: int):
-    """The benchmark's windows in blocks of ``limit`` at most, each a dict words -> items."""
+def _blocks(benchmark: DataFrame, width: int, limit: int) -> tuple[int, Iterator[dict[bytes, list[str]]]]:
+    """How many blocks, and the benchmark's windows in them, each a dict words -> items.
+
+    A block holds about ``limit`` (window, item) pairs, or ``limit * WINDOW_BYTES`` bytes
+    if that is reached first. Pairs go to blocks by their hash: a window that very many
+    items share stands in several blocks, each with some of the items.
+    """
     items = benchmark.select(F.coalesce(column_or_null(benchmark, "item_id", "string"), F.lit("")), column_or_null(benchmark, "text", "string"))
-    grams = written(items.mapInArrow(_item_windows(width), "gram binary, item string").groupBy("gram").agg(F.collect_set("item").alias("items")), "decontam-windows")
-    n = grams.count()
-    parts = max(1, -(-n // limit))
-    for k in range(parts):
-        chosen = grams.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == k) if parts > 1 else grams
-        yield {bytes(r["gram"]): r["items"] for r in chosen.toLocalIterator()}
+    pairs = written(items.mapInArrow(_item_windows(width), "gram binary, item string").distinct(), "decontam-windows")
+    size = pairs.agg(F.count("*").alias("n"), F.sum(F.length("gram") + F.octet_length("item")).alias("bytes")).first()
+    parts = max(1, -(-size["n"] // limit), -(-(size["bytes"] or 0) // (limit * WINDOW_BYTES)))
+
+    def block(k: int) -> dict[bytes, list[str]]:
+        out = defaultdict(list)
+        chosen = pairs.where(F.pmod(F.xxhash64("gram", "item"), F.lit(parts)) == k) if parts > 1 else pairs
+        for r in chosen.toLocalIterator():
+            out[bytes(r["gram"])].append(r["item"])
+        return dict(out)
+
+    return parts, (block(k) for k in range(parts))
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, limit: int = BLOCK_WINDOWS) -> DataFrame:
@@ -141,9 +154,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, limit:
     the texts for each block; rows with hits are then merged by the hash of their text,
     of which hits are a function.
     """
-    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(benchmark, width, limit)]
-    if len(blocks) == 1:
-        return docs.select("key", "text").mapInArrow(_scan(blocks[0]), SCHEMA.format(key=docs.schema["key"].dataType.simpleString()))
+    parts, blocks = _blocks(benchmark, width, limit)
+    if parts == 1:
+        sent = docs.sparkSession.sparkContext.broadcast(next(blocks))
+        return docs.select("key", "text").mapInArrow(_scan(sent), SCHEMA.format(key=docs.schema["key"].dataType.simpleString()))
     return docs.select("key", text_hash().alias("h")).join(_hits_by_text(docs, blocks), "h").select("key", "n_words", "runs", "items")
 
 
@@ -152,10 +166,15 @@ def text_hash():
 
 
 def _hits_by_text(docs: DataFrame, blocks) -> DataFrame:
-    """(h, n_words, runs, items) of every different text, from a scan for each block."""
+    """(h, n_words, runs, items) of every different text, from a scan for each block.
+
+    One block at a time is out: sent, scanned for, and taken back.
+    """
     texts, hits = docs.select(text_hash().alias("key"), "text"), None
     for block in blocks:
-        part = written(texts.mapInArrow(_scan(block), SCHEMA.format(key="string")).distinct(), "decontam-block")
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+        part = written(texts.mapInArrow(_scan(sent), SCHEMA.format(key="string")).distinct(), "decontam-block")
+        sent.destroy()
         hits = part if hits is None else hits.unionByName(part)
     joined = lambda c: F.flatten(F.collect_list(c))  # noqa: E731  one entry of each block
     merged = hits.groupBy(F.col("key").alias("h")).agg(F.first("n_words").alias("n_words"), merge_runs(F.array_sort(joined("runs"))).alias("runs"), F.array_sort(F.array_distinct(joined("items"))).alias("items"))
@@ -221,15 +240,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, lim
 
     A document with a twentieth of its words inside benchmark windows goes; of one with
     fewer, the hit words are cut out, and ``n_chars`` follows where there is such a
-    column. A benchmark of one block takes one map over the documents; a larger one
+    column. Other columns may have any name. A benchmark of one block takes one map over the documents; a larger one
     takes a scan for each block and a join on the hash of the text.
     """
     names = docs.columns
     with_length = "n_chars" in names and docs.schema["n_chars"].dataType.simpleString() in ("int", "bigint")
-    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(benchmark, width, limit)]
-    if len(blocks) == 1:
-        return docs.mapInArrow(_clean(blocks[0], names, with_length), docs.schema)
-    h, n, r = "_h", "_n", "_r"
-    found = _hits_by_text(docs, blocks).select(F.col("h").alias(h), F.col("n_words").alias(n), F.col("runs").alias(r))
-    rows = docs.withColumn(h, text_hash()).join(found, h).select(*[F.col(f"`{c}`") for c in names], n, r)
+    parts, blocks = _blocks(benchmark, width, limit)
+    if parts == 1:
+        return docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(next(blocks)), names, with_length), docs.schema)
+    found = _hits_by_text(docs, blocks).select("h", F.col("n_words").alias("n"), F.col("runs").alias("r"))
+    # The table's own columns travel in a struct, whatever their names are.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), text_hash().alias("h")).join(found, "h").select(*[F.col(f"row.`{c}`").alias(f"c{i}") for i, c in enumerate(names)], "n", "r")
     return rows.mapInArrow(_clean(None, names, with_length), docs.schema)

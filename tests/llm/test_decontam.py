@@ -81,6 +81,25 @@ def test_decontaminate(make, rows, items, limit):
     assert all(r["text"] == old[r["doc_id"]] for r in got if r["doc_id"] is not None and r["doc_id"] not in (201, 205))
 
 
+def test_names_are_the_callers(spark, make, rows, items):
+    """Columns with the names that the larger path joins by come back as they were."""
+    names = ("_h", "_n", "_r", "h", "n", "r", "row", "runs")
+    docs = make(rows).selectExpr("doc_id", "text", *[f"concat('{c}', doc_id) as `{c}`" for c in names])
+    small, large = ({(r["doc_id"], r["text"]): r for r in decontam.decontaminate(docs, items[1], limit=n).collect()} for n in (100_000, 20))
+    assert set(small) == set(large)
+    assert all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") for out in (small, large) for r in out.values() for c in names)
+
+
+def test_windows_of_very_many_items_and_very_long_words(spark, words):
+    passage = " ".join(words[:13])
+    rows = [(str(i), passage) for i in range(300)] + [("long", "x" * 50_000 + " " + "y" * 50_000)]
+    bench = spark.createDataFrame(rows, "item_id string, text string")
+    docs = spark.createDataFrame([(1, "a " + passage + " b"), (2, rows[-1][1]), (3, "clean text")], "key long, text string")
+    got = [{r["key"]: (r["n_words"], sorted(r["items"]), [tuple(x) for x in r["runs"]]) for r in decontam.find_hits(docs, bench, limit=n).collect()} for n in (100_000, 40)]
+    assert got[0] == got[1] == {1: (15, sorted(str(i) for i in range(300)), [(1, 14)]), 2: (2, ["long"], [(0, 2)]), 3: (2, [], [])}
+    assert decontam._blocks(bench, 13, 40)[0] >= 8
+
+
 def test_empty_tables(make, edge, items):
     assert decontam.decontaminate(make([]), items[1]).count() == 0
     docs = make(edge)
