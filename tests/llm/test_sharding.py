@@ -38,6 +38,29 @@ def test_shards(make, edge, monkeypatch, block):
     assert {"size", "row", "key"} <= set(rows[0].asDict()) and rows[0]["row"] == "R"
 
 
+def test_many_parts_share_groups_and_names_are_kept(spark, monkeypatch):
+    """More parts than groups; columns named like the output; lines that are joined, not sent."""
+    monkeypatch.setattr(sharding, "MAX_GROUPS", 3)
+    monkeypatch.setattr(sharding, "SENT_CELLS", 0)
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 40)
+    df = spark.range(1_003).selectExpr("id as shard", "'x' as slot", "1 as input_slot").repartition(11)
+    rows = sharding.shuffle_into_shards(df, 5).collect()
+    assert sorted(r["input_shard"] for r in rows) == list(range(1_003)) and {r["input_input_slot"] for r in rows} == {"x"}
+    for s in range(5):
+        own = sorted(r["slot"] for r in rows if r["shard"] == s)
+        assert own == list(range(len(own))) and len(own) in (200, 201)
+
+
+def test_rows_of_a_part_go_everywhere(spark):
+    """Each shard gets about its share of each tenth of the table, and not in the old order."""
+    rows = sharding.shuffle_into_shards(spark.range(0, 20_000, 1, 4), 4, 5).collect()
+    for s in range(4):
+        own = [r["id"] for r in sorted((r for r in rows if r["shard"] == s), key=lambda r: r["slot"])]
+        tenths = np.bincount(np.array(own) // 2_000, minlength=10)
+        assert abs(tenths - 500).max() < 120
+        assert abs(np.corrcoef(own, range(len(own)))[0, 1]) < 0.06
+
+
 def test_few_rows_and_none(make):
     assert sharding.shuffle_into_shards(make([]), 16).count() == 0
     rows = sharding.shuffle_into_shards(make([(1, "a", "s"), (2, None, None)]), 16).collect()
