@@ -30,6 +30,8 @@ SHINGLE, SEED, MAX_BITS = 4, 42, 4
 SMALL_RUN = 64
 #: Buckets of more distinct fingerprints than this are cut again.
 LARGE_BUCKET = 20_000
+#: With fewer open bits than this a bucket isn't cut: it can't hold many fingerprints.
+LEAST_FREE = 16
 SALTS = 16
 #: Near copies: bands of so many minima each. A pair of similarity 0.8 shares none with probability 0.0004.
 BANDS, BAND = 20, 5
@@ -81,9 +83,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["id", "key", "fp"])
 
 
+def text_key() -> Column:
+    """128 bits that stand for a text; with the id it names a row, or rows that are copies of each other."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(id, key, fp long) of (id long, text); the key is a hash of both."""
-    return docs.select("id", F.xxhash64("id", F.coalesce("text", F.lit(""))).alias("key"), "text").mapInArrow(_fingerprints, "id long, key long, fp long")
+    """(id, key, fp long) of (id long, text); the key stands for the text."""
+    return docs.select("id", text_key().alias("key"), "text").mapInArrow(_fingerprints, "id long, key binary, fp long")
 
 
 def _signed(x: int) -> int:
@@ -101,22 +108,41 @@ def variants(fp: Column) -> Column:
     return F.array(*keys)
 
 
-def subvariants(fp: Column, bit: Column) -> Column:
-    """Keys of the second cut: variants of three pieces of the bits outside ``bit``'s segment."""
-    out = None
+def segment_mask(key: Column) -> Column:
+    """The bits that the variant ``key`` says nothing about: those outside its segment."""
+    out = F.lit(None).cast("long")
     for first, width in segments():
-        free = [b for b in range(64) if not first <= b < first + width]
-        keys = []
-        for a, w in segments(len(free)):
-            piece = free[a : a + w]
-            for wiped in piece:
-                mask = sum(1 << b for b in piece if b != wiped)
-                keys.append(F.xxhash64(F.lit(wiped), fp.bitwiseAND(F.lit(_signed(mask)))))
-        own = (bit >= first) & (bit < first + width)
-        out = F.when(own, F.array(*keys)) if out is None else out.when(own, F.array(*keys))
+        wiped = key.bitwiseAND(63)  # the last six bits of a variant
+        out = F.when((wiped >= first) & (wiped < first + width), F.lit(_signed((1 << 64) - 1 - (((1 << width) - 1) << first)))).otherwise(out)
     return out
 
 
+def _cut_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, fp, mask) to the one-wildcard variants of the three pieces that ``mask``'s bits make.
+
+    Two fingerprints of a bucket that differ in at most ``MAX_BITS`` bits have such a
+    piece in common, but for one bit at most. A new mask is what the piece leaves.
+    """
+    import xxhash
+
+    for batch in batches:
+        key, fps, masks = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        out = [], [], []
+        for mask in np.unique(masks):
+            own = masks == mask
+            free = [b for b in range(64) if int(mask) >> b & 1]
+            f, k = fps[own].view(np.uint64), key[own]
+            for a, w in segments(len(free)):
+                whole = sum(1 << b for b in free[a : a + w])
+                for wiped in free[a : a + w]:
+                    kept = f & np.uint64(whole & ~(1 << wiped))
+                    keys = [xxhash.xxh64_intdigest(x + y, wiped) for x, y in zip(map(bytes, k.view("V8")), map(bytes, kept.view("V8")), strict=True)]
+                    out[0].append(np.array(keys, dtype=np.uint64).view(np.int64))
+                    out[1].append(f.view(np.int64))
+                    out[2].append(np.full(len(f), _signed(int(mask) & ((1 << 64) - 1) & ~whole), dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in out], ["key", "fp", "mask"])
+
+
 def _forest(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest of the fingerprints within ``MAX_BITS`` of each other."""
     left, right = [], []
@@ -166,7 +192,8 @@ def _linker(large: int):
     """Reads (key, fp) sorted by key; gives links, and the key of every bucket above ``large``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps, dropped = np.empty(0, np.int64), np.empty(0, np.uint64), None
+        # The open bucket is the last key's; its rows wait in parts.
+        parts, waiting, dropped = [], 0, None
 
         def out(a, b, over):
             n, m = len(a), len(over)
@@ -181,33 +208,44 @@ def _linker(large: int):
                 k, f = k[more], f[more]
             if not len(k):
                 continue
-            keys, fps = np.concatenate([keys, k]), np.concatenate([fps, f])
-            last = int(np.searchsorted(keys, keys[-1])) if np.all(keys[1:] >= keys[:-1]) else int(np.flatnonzero(keys != keys[-1])[-1] + 1)
-            yield out(*_links(keys[:last], fps[:last]), [])
-            keys, fps = keys[last:], fps[last:]
-            if large and len(keys) > large:
-                dropped = int(keys[0])
-                yield out(fps[:0], fps[:0], [dropped])
-                keys, fps = keys[:0], fps[:0]
-        yield out(*_links(keys, fps), [])
+            last = int(np.searchsorted(k, k[-1])) if k[0] <= k[-1] and np.all(k[1:] >= k[:-1]) else int(np.max(np.flatnonzero(k != k[-1]), initial=-1) + 1)
+            if last or (parts and parts[0][0][0] != k[-1]):
+                parts.append((k[:last], f[:last]))
+                yield out(*_links(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])), [])
+                parts, waiting = [], 0
+            parts.append((k[last:], f[last:]))
+            waiting += len(k) - last
+            if large and waiting > large:
+                dropped = int(k[-1])
+                yield out(f[:0], f[:0], [dropped])
+                parts, waiting = [], 0
+        if parts:
+            yield out(*_links(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])), [])
 
     return run
 
 
 def links(distinct: DataFrame, large: int = LARGE_BUCKET) -> DataFrame:
-    """Links (a, b) that connect all that is within ``MAX_BITS`` bits, of distinct ``fp``."""
+    """Links (a, b) that connect all that is within ``MAX_BITS`` bits, of distinct ``fp``.
+
+    Buckets above ``large`` are cut again, and again, by pieces of the bits that their
+    keys leave open, until too few bits are left for a bucket to be large.
+    """
     index = distinct.select("fp", F.explode(variants(F.col("fp"))).alias("key"))
-    sorted_ = lambda df: df.repartition("key").sortWithinPartitions("key").select("key", "fp")
-    schema = "a long, b long, large long"
-    found = written(sorted_(index).mapInArrow(_linker(large), schema), "simhash-links")
-    over = found.where(F.col("large").isNotNull()).select(F.col("large").alias("key")).distinct()
-    pairs = found.where(F.col("a").isNotNull()).select("a", "b")
-    if over.isEmpty():
-        return pairs
-    again = index.join(over, "key")
-    cut = again.select("fp", "key", F.explode(subvariants(F.col("fp"), F.col("key").bitwiseAND(63))).alias("sub"))
-    deeper = sorted_(cut.select("fp", F.xxhash64("key", "sub").alias("key"))).mapInArrow(_linker(0), schema)
-    return pairs.unionByName(written(deeper.where(F.col("a").isNotNull()).select("a", "b"), "simhash-links"))
+    keyed = index.withColumn("mask", segment_mask(F.col("key")))
+    free, pairs = 64 - min(width for _, width in segments()), None
+    while True:
+        limit = large if free >= LEAST_FREE else 0
+        sorted_ = keyed.select("key", "fp").repartition("key").sortWithinPartitions("key")
+        found = written(sorted_.mapInArrow(_linker(limit), "a long, b long, large long"), "simhash-links")
+        here = found.where(F.col("a").isNotNull()).select("a", "b")
+        pairs = here if pairs is None else pairs.unionByName(here)
+        over = found.where(F.col("large").isNotNull()).select(F.col("large").alias("key")).distinct()
+        if over.isEmpty():
+            return pairs
+        again = keyed.join(over, "key").select("key", "fp", "mask")
+        keyed = written(again.mapInArrow(_cut_again, "key long, fp long, mask long"), "simhash-cut")
+        free -= min(w for _, w in segments(free))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -342,16 +380,19 @@ def near_copies(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     candidates comes together once, and its sets are compared whole. ``fp`` stands for a
     set, so exact copies are compared once. Null and empty texts are copies of each other.
     """
-    keyed = docs.select("id", F.xxhash64("id", F.coalesce("text", F.lit(""))).alias("key"), "text")
-    signed = written(keyed.mapInArrow(_signatures(width), "id long, key long, fp long, bands array<long>"), "copies-bands")
-    distinct = signed.groupBy("fp").agg(F.min("key").alias("key"), F.first("bands").alias("bands"))
+    keyed = docs.select("id", text_key().alias("key"), "text")
+    signed = written(keyed.mapInArrow(_signatures(width), "id long, key binary, fp long, bands array<long>"), "copies-bands")
+    distinct = signed.groupBy("fp").agg(F.min(F.struct("id", "key")).alias("one"), F.first("bands").alias("bands"))
     distinct = written(distinct, "copies-distinct")
     index = distinct.select("fp", F.explode("bands").alias("band"))
     least = index.groupBy("band").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
     stars = written(components(index.join(least, "band").select(F.col("fp").alias("a"), "b")), "copies-candidates")
-    asked = written(distinct.join(stars, distinct["fp"] == stars["node"]).select("key", "fp", F.col("root").alias("candidates")), "copies-asked")
+    asked = written(distinct.join(stars, distinct["fp"] == stars["node"]).select("one.*", "fp", F.col("root").alias("candidates")), "copies-asked").withColumnRenamed("id", "asked")
     asked = F.broadcast(asked) if asked.count() <= SENT else asked
-    texts = keyed.join(asked, "key").select("candidates", "fp", "text").repartition("candidates").sortWithinPartitions("candidates", "fp")
+    texts = keyed.join(asked, (keyed["key"] == asked["key"]) & F.col("id").eqNullSafe(F.col("asked"))).select("candidates", "fp", "text")
+    # One text of each set; Spark drops copies in every task before rows move.
+    nth = F.row_number().over(Window.partitionBy("candidates", "fp").orderBy(F.length("text")))
+    texts = texts.withColumn("nth", nth).where("nth = 1").drop("nth").repartition("candidates").sortWithinPartitions("candidates", "fp")
     roots = written(texts.mapInArrow(_verifier(width, similarity), "fp long, root long"), "copies-roots")
     return signed.join(roots, "fp", "left").select("id", "key", "fp", F.coalesce("root", "fp").alias("root"))
 
@@ -361,15 +402,18 @@ def keep_one(docs: DataFrame, width: int = SHINGLE, similarity: float | None = N
 
     Near duplicates are those of ``near_duplicates``, or with a ``similarity`` those of
     ``near_copies``. Rows without an id come last in their component. Of rows that repeat
-    the id and the fingerprint, the one with the smallest text hash stays.
+    the id, the one with the smallest digest of its text stays, and of those that repeat
+    the text too, the one with the smallest hash of the row.
     """
     text = F.coalesce(column_or_null(docs, "text", "string"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), column_or_null(docs, "doc_id", "long").alias("id"), text.alias("text"))
     found = near_duplicates(rows.select("id", "text")) if similarity is None else near_copies(rows.select("id", "text"), width, similarity)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
-    chosen = written(first.select("first.key"), "simhash-chosen")
-    stays = rows.select("row", F.xxhash64("id", "text").alias("key")).join(chosen, "key", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row")))
+    chosen = written(first.select("first.id", "first.key"), "simhash-chosen").withColumnRenamed("id", "chosen")
+    keyed = rows.select("row", "id", text_key().alias("key"))
+    stays = keyed.join(chosen, (keyed["key"] == chosen["key"]) & F.col("id").eqNullSafe(F.col("chosen")), "left_semi")
+    # Spark keeps the first of each group in every task before rows move, so copies don't meet in one.
+    nth = F.row_number().over(Window.partitionBy("key", "id").orderBy(F.xxhash64("row")))
     return stays.withColumn("nth", nth).where("nth = 1").select("row.*")
 
 

@@ -89,6 +89,28 @@ def test_links_connect_what_brute_force_connects(spark, large, monkeypatch):
     assert len({found[m] for m in found}) == sum(len(m) > 1 for m in groups.values())
 
 
+def test_large_buckets_are_cut_until_they_are_small(spark):
+    """Fingerprints that agree in all but 22 bits, far more of them than a bucket may hold."""
+    rng = random.Random(3)
+    high = rng.getrandbits(42) << 22
+    prints = {high | rng.getrandbits(22) for _ in range(700)}
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long").repartition(3)
+    found = {r["node"] % (1 << 64): r["root"] for r in simhash.components(simhash.links(df, 40)).collect()}
+    groups = defaultdict(set)
+    for p, r in brute_components(prints).items():
+        groups[r].add(p)
+    for members in groups.values():
+        assert len({found[m] for m in members}) == 1 if len(members) > 1 else not members & set(found)
+
+
+def test_many_copies_without_an_id(spark):
+    rows = spark.range(20_000).selectExpr("cast(null as long) as doc_id", "'the very same text of some words here' as text", "id as extra")
+    rows = rows.unionByName(spark.createDataFrame([(7, "another text altogether, of other words", 1), (8, None, 2)], "doc_id long, text string, extra long"))
+    for width, similarity in ((4, None), (5, 0.8)):
+        kept = simhash.keep_one(rows, width, similarity).collect()
+        assert sorted((r["doc_id"] or 0 for r in kept)) == [0, 7, 8] and len(kept) == 3
+
+
 def test_one_segment_differs_by_a_bit_at_most():
     rng = random.Random(1)
     for _ in range(500):
