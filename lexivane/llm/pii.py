@@ -1,12 +1,14 @@
 """Personal data by weak supervision.
 
-Exact patterns (e-mail, IP address, card, phone) always count. Further candidates,
-credentials, names after titles, phones without a plus sign, spelled-out e-mails, are
-judged by labelers: patterns, word lists and the words around. Their votes are counted
-over the whole corpus by pattern of votes, expectation-maximisation estimates how far
-each labeler can be relied on, and a logistic classifier of the candidate's own traits
-is trained on the resulting probabilities. It decides which candidates become spans;
-of accepted ones that overlap, the likeliest stays.
+Exact patterns (e-mail, IP address, card, phone) always count. Further candidates are
+broad: tokens of letters and digits, values after a name, digit runs, spelled-out e-mails,
+capitalised pairs and names after titles. Seven labelers vote on each, for it, against it
+or not at all: its shape, word lists, the words before it and behind it, statistics of its
+characters, known formats, and its place. Votes are counted over the whole corpus by
+kind and pattern of votes; expectation-maximisation estimates for each kind how far each
+labeler can be relied on, and a logistic classifier of the candidate's own traits is
+trained on the resulting probabilities. It decides which candidates become spans; of
+accepted ones that overlap, the likeliest stays.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from lexivane.llm.common import written
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "name")
 THRESHOLD = 0.5
+#: Share of the candidates that is taken to be personal before EM; generators are broad.
+PRIOR = 0.3
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -36,14 +40,29 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _PAIR = re.compile(r"""(?<![A-Za-z0-9])([A-Za-z][A-Za-z_-]{2,19})[ ]?[=:][ ]?["']?([A-Za-z0-9_+/=-]{8,}+)""")
 _KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}+|xox[bap]-[A-Za-z0-9-]{10,}+)(?![A-Za-z0-9])")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}")
 _BARE_PHONE = re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])")
+_DIGITS = re.compile(r"(?<![0-9A-Za-z+.,_/-])\(?[0-9]++(?:[ ./()-]{1,2}[0-9]++)*+")
 _SPELLED = re.compile(r"(?<![A-Za-z0-9.])[A-Za-z0-9._-]{2,40}[ ]?[\[(]?(?:at|@)[\])]?[ ]?[A-Za-z0-9-]{2,40}[ ]?[\[(]?dot[\])]?[ ]?(?:com|org|net|edu|de|fr|es)(?![A-Za-z])")
 _TITLED = re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?[ ]([A-Z][a-z]{1,20}(?:[ ][A-Z][a-z]{1,20})?)")
-#: Word lists of the gazetteer labelers.
+_CAPITALISED = re.compile(r"(?<![\w.-])[A-Z][a-z]{1,20}[ ][A-Z][a-z]{1,20}(?![\w-])")
+#: Generators, as bits of a candidate's ``pattern``.
+PAIR, KEY, TOKEN, GROUPED, DIGITS, SPELLED, TITLED, CAPITALISED = (1 << i for i in range(8))
+#: Word lists of the labelers.
 SECRET_WORDS = frozenset("token password passwd pwd secret apikey api_key api-key access_key auth bearer credential key".split())
 FIRST_NAMES = frozenset("james mary john robert michael william david richard joseph thomas anna maria peter hans klaus jean pierre marie sophie carlos jose luis carmen ana juan".split())
-CUES = frozenset("call phone tel telephone mobile fax contact mail email write reach card visa account token password secret key login user".split())
-AGAINST = frozenset("version license isbn issn page chapter figure table section copyright".split())
+PHONE_WORDS = frozenset("call phone tel telephone mobile fax contact reach dial cell whatsapp telefon handy téléphone appelez teléfono llame".split())
+CARD_WORDS = frozenset("card visa mastercard amex credit debit karte carte tarjeta".split())
+MAIL_WORDS = frozenset("mail email e-mail write contact reach courriel correo".split())
+NAME_WORDS = frozenset("mr mrs ms dr prof herr frau monsieur madame señor señora name named dear patient customer signed contact".split())
+CUES = {"secret": SECRET_WORDS, "phone": PHONE_WORDS, "card": CARD_WORDS, "email": MAIL_WORDS, "name": NAME_WORDS}
+AGAINST = frozenset("version license isbn issn page pages chapter figure table section copyright commit sha checksum id uuid order invoice serial article row line item build release doi url http https year".split())
+UNITS = frozenset("percent kg km cm mm usd eur dollars euros items pages years people bytes mb gb ms units".split())
+PLACES = frozenset("license public general version foundation terms rights street st avenue road university college institute city county river lake bank museum hotel inc ltd llc corp gmbh company monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december".split())
+VERBS = frozenset("look looking meet meeting stay staying arrive arrived is are was be being the a see live lives work works only not start started".split())
+_UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[ ./-][0-9]{1,2}[ ./-][0-9]{1,2}|[0-9]{1,2}[ ./-][0-9]{1,2}[ ./-](?:19|20)[0-9]{2}")
+_ISSUER = re.compile(r"4|5[1-5]|3[47]|6011|65")
 
 
 def luhn(digits: str) -> bool:
@@ -94,19 +113,41 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[str, int, int, int]]:
-    """(kind, start, end, pattern number) of spans that the exact patterns may have missed."""
-    out = []
+    """(kind, start, end, generators) of spans that the exact patterns may have missed, by place."""
+    found: dict[tuple[str, int, int], int] = {}
+
+    def add(kind: str, span: tuple[int, int], by: int) -> None:
+        found[kind, *span] = found.get((kind, *span), 0) | by
+
     if "=" in text or ":" in text:
-        out += [("secret", *m.span(2), 0) for m in _PAIR.finditer(text) if not text.startswith("//", m.start(2))]
+        for m in _PAIR.finditer(text):
+            if not text.startswith("//", m.start(2)):
+                add("secret", m.span(2), PAIR)
     if "AKIA" in text or "ghp_" in text or "sk-" in text or "xox" in text:
-        out += [("secret", *m.span(), 1) for m in _KEY.finditer(text)]
-    if re.search("[0-9]{3}", text):
-        out += [("phone", *m.span(), 2) for m in _BARE_PHONE.finditer(text)]
+        for m in _KEY.finditer(text):
+            add("secret", m.span(), KEY)
+    if re.search("[0-9]", text):
+        for m in _TOKEN.finditer(text):
+            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
+                add("secret", m.span(), TOKEN)
+        for m in _BARE_PHONE.finditer(text):
+            add("phone", m.span(), GROUPED)
+        for m in _DIGITS.finditer(text):
+            # Checked here: a look-ahead would begin long runs again and again.
+            n = 0 if text[m.end() : m.end() + 1].isalnum() else sum(c.isdigit() for c in m[0])
+            if 7 <= n <= 12:
+                add("phone", m.span(), DIGITS)
+            elif 13 <= n <= 19:
+                add("card", m.span(), DIGITS)
     if "dot" in text:
-        out += [("email", *m.span(), 3) for m in _SPELLED.finditer(text)]
+        for m in _SPELLED.finditer(text):
+            add("email", m.span(), SPELLED)
     if any(x in text for x in ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Señor")):
-        out += [("name", *m.span(1), 4) for m in _TITLED.finditer(text)]
-    return out
+        for m in _TITLED.finditer(text):
+            add("name", m.span(1), TITLED)
+    for m in _CAPITALISED.finditer(text):
+        add("name", m.span(), CAPITALISED)
+    return [(*k, by) for k, by in sorted(found.items(), key=lambda x: (x[0][1], -x[0][2], KINDS.index(x[0][0])))]
 
 
 def _entropy(s: str) -> float:
@@ -114,50 +155,146 @@ def _entropy(s: str) -> float:
 
 
 def _words_before(text: str, at: int) -> list[str]:
-    return re.findall(r"[a-z_-]+", text[max(0, at - 40) : at].lower())[-4:]
+    return re.findall(r"[^\W\d][\w-]*", text[max(0, at - 40) : at].lower())[-4:]
+
+
+def _word_behind(text: str, at: int) -> str:
+    m = re.match(r"[ ]?([^\W\d][\w-]*|%)", text[at : at + 30].lower())
+    return m[1] if m else ""
+
+
+def _groups(value: str) -> list[int]:
+    return [len(x) for x in re.findall("[0-9]+", value)]
+
+
+def _vote(yes: bool, no: bool = False) -> int:
+    return 1 if yes else -1 if no else 0
 
 
 def votes(text: str, kind: str, a: int, b: int, pattern: int) -> tuple[int, ...]:
-    """One vote a labeler: 1 personal, -1 not, 0 none."""
-    value, before = text[a:b], _words_before(text, a)
-    shape = {0: 1 if re.search(r"[0-9]", value) and re.search(r"[A-Za-z]", value) else -1, 1: 1, 2: 1 if len(_digits(value)) == 10 else 0, 3: 1, 4: 0}[pattern]
-    listed = {"secret": 1 if pattern == 1 or before and before[-1] in SECRET_WORDS else 0, "name": 1 if value.split()[0].lower() in FIRST_NAMES else 0, "phone": 0, "email": 1 if re.search(r"(?:com|org|net)$", value) else 0}[kind]
-    cue = 1 if any(w in CUES for w in before) else 0
-    against = -1 if any(w in AGAINST for w in before) else 0
-    random_ = 0 if kind != "secret" else 1 if _entropy(value) >= 3.0 and len(value) >= 16 else -1 if value.isalpha() else 0
-    plain = -1 if kind == "secret" and value.isalpha() and value.islower() else 1 if kind == "name" and " " in value else 0
-    return shape, listed, cue, against, random_, plain
+    """One vote a labeler: 1 personal, -1 not, 0 none.
+
+    A labeler of words around a span or of its place says yes or no each time: one that
+    only ever says no, or only yes, has nothing for EM to learn from.
+    """
+    value, before, behind = text[a:b], _words_before(text, a), _word_behind(text, b)
+    cues, last = CUES[kind], before[-1] if before else ""
+    alpha, digit = any(c.isalpha() for c in value), any(c.isdigit() for c in value)
+    cue_before = _vote(any(w in cues for w in before) and last not in AGAINST, True)
+    if kind == "secret":
+        # An issuer's own format speaks for itself: the words around it only add to that.
+        entropy, known = _entropy(value), bool(pattern & KEY)
+        inside = text[a - 1 : a] in ("/", "#", "?", "&") or (text[b : b + 1] in ("/", ".", "@") and text[b + 1 : b + 2].isalnum())
+        return (
+            _vote(alpha and digit, True),
+            _vote(known or last in SECRET_WORDS, last in AGAINST or last in PHONE_WORDS or last in CARD_WORDS),
+            0 if known and cue_before < 0 else cue_before,
+            _vote(not inside, True),
+            _vote(entropy >= 3.0 and len(value) >= 16, entropy < 2.5 or value.isalpha()),
+            _vote(known or (len(value) in (32, 40, 64) and re.fullmatch("[0-9a-f]+", value) is not None), _UUID.fullmatch(value) is not None or _DATE.fullmatch(value) is not None or value.count("-") + value.count("/") + value.count("_") > 3),
+            _vote(text[a - 1 : a] in ("'", '"', "=") or text[max(0, a - 2) : a] == ": ", not known),
+        )
+    groups, digits = _groups(value), _digits(value)
+    ends = b == len(text) or text[b] in "\n,;!?)" or text[b : b + 2] in (". ", ".\n", ".")
+    if kind == "phone":
+        return (
+            _vote((groups == [3, 3, 4] or len(groups) in (3, 4, 5) and max(groups) <= 4) and not _DATE.fullmatch(value), len(groups) == 1),
+            _vote(last in PHONE_WORDS, last in AGAINST or last in SECRET_WORDS),
+            cue_before,
+            _vote(behind not in UNITS and behind != "%", True),
+            _vote(len(set(digits)) >= 5, len(set(digits)) <= 3),
+            _vote("(" in value or groups == [3, 3, 4], _DATE.fullmatch(value) is not None or "/" in value or digits.startswith(("978", "979"))),
+            _vote(ends, True),
+        )
+    if kind == "card":
+        return (
+            _vote(groups in ([4, 4, 4, 4], [4, 6, 5]), True),
+            _vote(_ISSUER.match(digits) is not None, True),
+            cue_before,
+            _vote(behind in ("exp", "expires", "cvv", "valid"), behind in UNITS),
+            _vote(False, len(set(digits)) <= 3),
+            _vote(len(digits) in (15, 16), True),
+            _vote(False, not luhn(digits)),
+        )
+    if kind == "email":
+        local = re.split(r"[ \[(@]", value.lower(), maxsplit=1)[0]
+        return (
+            _vote("[" in value or "(" in value, local in VERBS),
+            _vote(re.search(r"(?:com|org|net|edu)$", value) is not None),
+            cue_before,
+            _vote(False, behind in PLACES),
+            _vote(any(c in "._-0123456789" for c in local), local.isalpha()),
+            _vote(re.search(r"dot[\])]?[ ]?[a-z]+$", value) is not None),
+            _vote(ends, True),
+        )
+    first, second = (value.lower().split() + [""])[:2]
+    # Headings and junk: a run of capitalised words, or one word again.
+    chained = first == second or re.search(r"(?:^|[^\w])[A-Z][\w]*[ ]$", text[max(0, a - 24) : a]) is not None and not pattern & TITLED or re.match(r"[ ][A-Z]", text[b : b + 2]) is not None
+    starts = a == 0 or text[a - 1] == "\n" or text[max(0, a - 2) : a] in (". ", "! ", "? ", ": ")
+    return (
+        _vote(bool(second) and not chained, chained),
+        _vote(first in FIRST_NAMES and not chained, chained or first in PLACES or second in PLACES or first in AGAINST or second in AGAINST),
+        cue_before,
+        _vote(behind in ("said", "wrote", "says", "asked", "told"), behind in PLACES),
+        _vote(False, len(first) < 3 or first == second),
+        _vote(bool(pattern & TITLED), True),
+        _vote(not starts and not chained, True),
+    )
 
 
-LABELERS = 6
+LABELERS = 7
+#: Labelers of which one must say yes: word lists, words before, known formats.
+EVIDENCE = [1, 2, 5]
 
 
 def traits(text: str, kind: str, a: int, b: int, pattern: int) -> int:
     """Binary traits of a candidate, as bits: what the classifier sees."""
     value, before = text[a:b], _words_before(text, a)
+    entropy = _entropy(value)
     tests = (
-        kind == "secret",
-        kind == "phone",
-        kind == "email",
-        kind == "name",
-        pattern == 1,
+        bool(pattern & (KEY | GROUPED | TITLED)),
+        bool(pattern & PAIR),
+        len(value) >= 12,
         len(value) >= 16,
         len(value) >= 32,
         any(c.isdigit() for c in value),
         any(c.isalpha() for c in value),
-        bool(before) and before[-1] in SECRET_WORDS,
-        any(w in CUES for w in before),
+        any(c.isupper() for c in value),
+        any(c in " .-()/_" for c in value),
+        bool(before) and before[-1] in CUES[kind],
+        any(w in CUES[kind] for w in before),
         any(w in AGAINST for w in before),
-        _entropy(value) >= 3.0,
-        text[a - 1 : a] in ("'", '"'),
+        entropy >= 3.0,
+        entropy >= 3.7,
+        text[a - 1 : a] in ("'", '"', "=", ":"),
+        text[a - 1 : a] in ("/", "#", "?", "&") or text[b : b + 1] in ("/", "@", "%"),
+        _DATE.fullmatch(value) is not None or _UUID.fullmatch(value) is not None or len(re.findall("[-/_]", value)) > 2,
+        _groups(value) == [3, 3, 4] or "(" in value or "[" in value,
+        kind == "name" and value.split()[0].lower() in FIRST_NAMES,
+        kind == "name" and any(w in PLACES for w in value.lower().split()),
+        kind == "name" and (len({*value.split()}) < len(value.split()) or re.match(r"[ ][A-Z]", text[b : b + 2]) is not None or text[max(0, a - 2) : a - 1].isalpha() and text[max(0, a - 24) : a].split()[-1:] != [] and text[max(0, a - 24) : a].split()[-1][0].isupper()),
+        kind in ("name", "email") and (a == 0 or text[max(0, a - 2) : a] in (". ", "! ", "? ", ": ")),
     )
     return sum(1 << i for i, x in enumerate(tests) if x)
 
 
-TRAITS = 14
+TRAITS = 22
 FOUND = "doc_id {kind}, base array<struct<kind:string,start:long,end:long>>, more array<struct<kind:string,start:long,end:long,votes:int,traits:int>>"
 
 
+def _covered(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint stretches that spans cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = [("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]
     for batch in batches:
@@ -166,9 +303,11 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text or ""
             mine = base_spans(text)
             base.append([{"kind": k, "start": a, "end": b} for k, a, b in mine])
-            taken, rows = sorted((a, b) for _, a, b in mine), []
-            for kind, a, b, pattern in sorted(candidates(text), key=lambda c: (c[1], -c[2])) if len(text) > 7 else []:
-                if any(x < b and a < y for x, y in taken):
+            starts, ends = _covered(mine)
+            rows = []
+            for kind, a, b, pattern in candidates(text) if len(text) > 7 else []:
+                before = bisect.bisect_left(starts, b) - 1
+                if before >= 0 and ends[before] > a:
                     continue
                 code = 0
                 for v in votes(text, kind, a, b, pattern):
@@ -187,23 +326,31 @@ def decode_votes(code: int) -> list[int]:
     return out[::-1]
 
 
-def reliabilities(votes_: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+def reliabilities(votes_: np.ndarray, counts: np.ndarray, rounds: int = 100, possible: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """EM over distinct vote patterns: P(personal) of each, and each labeler's accuracy.
 
-    A labeler that votes is right with its own accuracy, held between 0.55 and 0.99 so
-    that labels can't swap; one that doesn't vote tells nothing.
+    A labeler that votes says yes with one probability to personal candidates and with
+    another to the rest, so one that always says the same tells nothing; one that doesn't
+    vote tells nothing either. Both begin at, and are drawn towards, four right in five, and
+    yes is never the likelier for the rest, so that the two classes can't change places.
+    Patterns that aren't ``possible`` are known not to be personal.
     """
-    accuracy, prior = np.full(votes_.shape[1], 0.8), 0.5
+    yes, cast, n = (votes_ == 1).astype(float), (votes_ != 0).astype(float), counts[:, None]
+    hit, false, prior = np.full(votes_.shape[1], 0.8), np.full(votes_.shape[1], 0.2), PRIOR
     posterior = np.full(len(votes_), 0.5)
     for _ in range(rounds):
-        weight = np.log(accuracy / (1 - accuracy))
-        logit = math.log(prior / (1 - prior)) + votes_ @ weight
-        posterior = 1 / (1 + np.exp(-logit))
+        logit = math.log(prior / (1 - prior)) + yes @ np.log(hit / false) + (cast - yes) @ np.log((1 - hit) / (1 - false))
+        posterior = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
+        posterior = posterior if possible is None else np.where(possible, posterior, 0.0)
         prior = float(np.clip((posterior * counts).sum() / max(counts.sum(), 1), 0.05, 0.95))
-        right = np.where(votes_ == 1, posterior[:, None], np.where(votes_ == -1, 1 - posterior[:, None], 0.0))
-        cast = (votes_ != 0) * counts[:, None]
-        accuracy = np.clip(((right * counts[:, None]).sum(axis=0) + 8) / (cast.sum(axis=0) + 10), 0.55, 0.99)
-    return posterior, accuracy
+        p = posterior[:, None]
+        hit = ((yes * p * n).sum(axis=0) + 8) / ((cast * p * n).sum(axis=0) + 10)
+        false = ((yes * (1 - p) * n).sum(axis=0) + 2) / ((cast * (1 - p) * n).sum(axis=0) + 10)
+        middle = (hit + false) / 2
+        hit, false = np.clip(np.maximum(hit, middle), 0.01, 0.99), np.clip(np.minimum(false, middle), 0.01, 0.99)
+    p = posterior[:, None]
+    right = ((yes * p + (cast - yes) * (1 - p)) * n).sum(axis=0)
+    return posterior, (right + 8) / ((cast * n).sum(axis=0) + 10)
 
 
 def bits(codes: np.ndarray) -> np.ndarray:
@@ -243,8 +390,8 @@ def resolve(spans: list[tuple[str, int, int, float]]) -> list[tuple[str, int, in
     return [(kind, a, b) for a, b, kind in taken]
 
 
-def _resolver(w: list[float]):
-    """Scores the candidates with the classifier's weights and resolves the accepted."""
+def _resolver(weights: dict[str, list[float]]):
+    """Scores the candidates with their kind's weights and resolves the accepted."""
     least = math.log(THRESHOLD / (1 - THRESHOLD))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,37 +399,57 @@ def _resolver(w: list[float]):
         for batch in batches:
             added = []
             for more in batch.column(2).to_pylist():
-                scored = [(c["kind"], c["start"], c["end"], w[0] + sum(v for i, v in enumerate(w[1:]) if c["traits"] >> i & 1)) for c in more]
+                scored = []
+                for c in more:
+                    w = weights[c["kind"]]
+                    scored.append((c["kind"], c["start"], c["end"], w[0] + sum(v for i, v in enumerate(w[1:]) if c["traits"] >> i & 1)))
                 added.append([{"kind": k, "start": a, "end": b} for k, a, b in resolve([c for c in scored if c[3] >= least])])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(added, kind)], ["doc_id", "base", "added"])
 
     return run
 
 
-def find_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, added) of every row of (doc_id, text): arrays of (kind, start, end).
+def learn(each: DataFrame) -> tuple[dict[str, list[float]], dict[str, dict]]:
+    """Classifier weights of each kind, and what EM found: patterns, counts, posteriors, accuracies.
 
-    Places are code points, ends exclusive. Texts are read once, whole; what the models
-    learn comes from counts over all documents by vote pattern (at most 3^6 a kind) and
-    trait pattern (at most 2^14), so nothing collected grows with the corpus. Null and
-    empty texts have no spans; repeated rows keep their own row.
+    ``each`` is (kind, votes, traits). Only counts come to the driver: by vote pattern, at
+    most 3^7 a kind, and by trait pattern, at most 2^22 a kind.
     """
-    found = written(docs.select("doc_id", "text").mapInArrow(_find, FOUND.format(kind=docs.schema["doc_id"].dataType.simpleString())), "pii-found")
-    each = found.select(F.explode("more").alias("c")).select("c.kind", "c.votes", "c.traits")
     seen = each.groupBy("kind", "votes").agg(F.count("*").alias("n")).orderBy("kind", "votes").collect()
-    if not seen:
-        return found.select("doc_id", "base", F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint>>)").alias("added"))
-    believed = []
+    found, believed = {}, []
     for kind in sorted({r["kind"] for r in seen}):
         own = [r for r in seen if r["kind"] == kind]
-        posterior, _ = reliabilities(np.array([decode_votes(r["votes"]) for r in own], dtype=float), np.array([r["n"] for r in own], dtype=float))
+        patterns, counts = np.array([decode_votes(r["votes"]) for r in own], dtype=float), np.array([r["n"] for r in own], dtype=float)
+        # Capitals, digits or odd characters alone are no evidence.
+        posterior, accuracy = reliabilities(patterns, counts, possible=(patterns[:, EVIDENCE] == 1).any(axis=1))
+        found[kind] = {"patterns": patterns, "counts": counts, "posterior": posterior, "accuracy": accuracy}
         believed += [(kind, r["votes"], float(p)) for r, p in zip(own, posterior, strict=True)]
-    # At most 3^6 rows a kind.
-    table = docs.sparkSession.createDataFrame(believed, "kind string, votes int, p double")
-    expected = each.join(F.broadcast(table), ["kind", "votes"]).groupBy("traits").agg(F.sum("p").alias("p"), F.count("*").alias("n")).orderBy("traits").collect()
-    w = fit_classifier(np.array([r["traits"] for r in expected]), np.array([r["p"] for r in expected]), np.array([r["n"] for r in expected], dtype=float))
+    if not believed:
+        return {}, {}
+    table = each.sparkSession.createDataFrame(believed, "kind string, votes int, p double")
+    expected = each.join(F.broadcast(table), ["kind", "votes"]).groupBy("kind", "traits").agg(F.sum("p").alias("p"), F.count("*").alias("n")).orderBy("kind", "traits").collect()
+    weights = {}
+    for kind in found:
+        own = [r for r in expected if r["kind"] == kind]
+        weights[kind] = fit_classifier(np.array([r["traits"] for r in own]), np.array([r["p"] for r in own]), np.array([r["n"] for r in own], dtype=float)).tolist()
+    return weights, found
+
+
+def find_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, base, added) of every row of (doc_id, text): arrays of (kind, start, end).
+
+    Places are code points, ends exclusive. Texts are read once, whole; what the models
+    learn comes from counts over all documents (see ``learn``), so nothing collected
+    grows with the corpus. Null and empty texts have no spans; repeated rows keep their
+    own row.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = written(docs.select("doc_id", "text").mapInArrow(_find, FOUND.format(kind=kind)), "pii-found")
+    weights, _ = learn(found.select(F.explode("more").alias("c")).select("c.kind", "c.votes", "c.traits"))
     span = "array<struct<kind:string,start:long,end:long>>"
-    return found.mapInArrow(_resolver(w.tolist()), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base {span}, added {span}")
+    if not weights:
+        return found.select("doc_id", "base", F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint>>)").alias("added"))
+    return found.mapInArrow(_resolver(weights), f"doc_id {kind}, base {span}, added {span}")
 
 
 def as_text(spans):
