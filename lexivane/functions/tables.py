@@ -5,17 +5,43 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def on_one_machine(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, and so share its local folders."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder in ``spark.checkpoint.dir``, or of a single machine's session its own."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not on_one_machine(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="lexivane-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        base = f"file://{base}"
+    return f"{base.rstrip('/')}/lexivane/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a reliable checkpoint in ``spark.checkpoint.dir``; a session without one gets its own."""
+    """``df`` as a reliable checkpoint in ``spark.checkpoint.dir``.
+
+    A session on a single machine without that setting gets a folder of its own; on a
+    cluster it raises.
+    """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexivane-")
-        if "spark.checkpoint.dir" not in dict(sc.getConf().getAll()):
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not on_one_machine(df.sparkSession):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="lexivane-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
     return df.checkpoint()

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexivane.functions.text import tokenize_text
-from lexivane.operators.index import Index
+from lexivane.operators.index import Index, StoredIndex
 
 
 class QueryParseError(ValueError):
@@ -106,8 +106,37 @@ def predicate(tree, terms: Column) -> Column:
     return ~parts[0] if kind == "NOT" else parts[0] & parts[1] if kind == "AND" else parts[0] | parts[1]
 
 
+def leaves(tree) -> list[str]:
+    """The different terms of a parsed query."""
+    kind, *rest = tree
+    return [rest[0]] if kind == "TERM" else list(dict.fromkeys(t for x in rest for t in leaves(x)))
+
+
+def holds(tree, has) -> Column | bool:
+    """The parsed query over ``has(term)``."""
+    kind, *rest = tree
+    if kind == "TERM":
+        return has(rest[0])
+    parts = [holds(x, has) for x in rest]
+    if kind == "NOT":
+        return (not parts[0]) if isinstance(parts[0], bool) else ~parts[0]
+    return parts[0] & parts[1] if kind == "AND" else parts[0] | parts[1]
+
+
+def _by_postings(index: StoredIndex, tree) -> DataFrame:
+    """Reads the postings of the query's terms only, and all ids only if a document without any can match."""
+    terms = leaves(tree)
+    flag = {t: f"t{i}" for i, t in enumerate(terms)}
+    found = index.postings.where(F.col("term").isin(terms)).groupBy("doc_id").agg(*[F.max(F.col("term") == t).alias(c) for t, c in flag.items()])
+    if holds(tree, lambda t: False):
+        found = index.doc_stats.select("doc_id").join(found, "doc_id", "left").na.fill(False)
+    return found.where(holds(tree, lambda t: F.col(flag[t]))).select("doc_id")
+
+
 def matching(index: Index, query: str, tokenizer: Callable[[str], list[str]] = tokenize_text) -> DataFrame:
     """Ids of the documents that match; NOT ranges over all documents, empty ones too."""
+    if isinstance(index, StoredIndex):
+        return _by_postings(index, parse(query, tokenizer))
     return index.docs.where(predicate(parse(query, tokenizer), F.col("terms"))).select("doc_id")
 
 

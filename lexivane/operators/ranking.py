@@ -33,18 +33,15 @@ def query_terms(index: Index, queries: DataFrame) -> DataFrame:
 def hits(index: Index, queries: DataFrame) -> DataFrame:
     """Postings of the queries' terms with all that a score needs.
 
-    The document side is filtered to the terms asked for before it is counted. A query
-    side that is counted to be small is sent out, so rows stay with their document: over
-    an index clustered by document neither counts nor scores are shuffled then.
+    A query side that is counted to be small is sent out, so rows stay with their document:
+    over a stored index, or one clustered by document, counts aren't shuffled, and scores
+    are summed up before they are.
     """
     asked = query_terms(index, queries)
     wanted = small(asked.select("term").distinct())
-    each = index.docs.select("doc_id", F.size("terms").alias("doc_len"), F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
-    pairs = each.groupBy("doc_id", "doc_len", "term").agg(F.count("*").alias("tf"))
-    df = index.docs.select(F.explode(F.array_distinct("terms")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    sides = small(asked.join(df, "term"))
+    sides = small(asked.join(index.frequencies(wanted), "term"))
     # One row: a bound that doesn't grow with the data.
-    return pairs.join(sides, "term").crossJoin(F.broadcast(index.corpus_stats))
+    return index.matches(wanted).join(sides, "term").crossJoin(F.broadcast(index.corpus_stats))
 
 
 class Ranker(ABC):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexivane.functions.tables import spread
+from lexivane.functions.tables import new_folder, spread
 from lexivane.functions.text import FOLD_FROM, FOLD_TO, STOPWORDS, tokenize
 from lexivane.operators import boolean, classify, cluster, evaluation, factorization, index, prefix, ranking, recommend, significance, synthetic, vectors
 from lexivane.sources.readers import from_tables, merge_qrels
@@ -34,14 +34,21 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _index(spark, d) -> index.Index:
-    """For queries that scan: as the files are split, or over all cores if they are few."""
+def _built(spark, d) -> index.Index:
     return index.build_index(from_tables(spread(_table(spark, d, "documents"))))
 
 
-def _clustered(spark, d) -> index.Index:
-    """For queries that group by document."""
-    return index.build_index(from_tables(_table(spark, d, "documents")), cluster=True)
+_folders: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, d) -> index.StoredIndex:
+    """The written index of ``d``: built by the first query of a session that asks for it, read by all."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _folders:
+        folder = new_folder(spark, "index")
+        index.store(_built(spark, d), folder)
+        _folders[key] = folder
+    return index.open_index(spark, _folders[key])
 
 
 def _queries(spark, d) -> DataFrame:
@@ -127,12 +134,13 @@ def _metrics(ranked: str, name: str = "m", by: str = "") -> str:
 
 @query(f"SELECT doc_id::VARCHAR AS doc_id, array_to_string({_tok('text')}, ' ') AS terms FROM documents")
 def tokenize_documents(spark, d):
-    return _index(spark, d).docs.select("doc_id", F.array_join("terms", " ").alias("terms"))
+    return _built(spark, d).docs.select("doc_id", F.array_join("terms", " ").alias("terms"))
 
 
 @query(f"{_BASE} SELECT doc_id, term, tf FROM p")
 def term_freq(spark, d):
-    return _clustered(spark, d).postings.select("doc_id", "term", F.col("tf").cast("long").alias("tf"))
+    """The whole build of postings, from the texts."""
+    return index.build_index(from_tables(_table(spark, d, "documents")), cluster=True).postings.select("doc_id", "term", F.col("tf").cast("long").alias("tf"))
 
 
 @query(f"{_BASE} SELECT term, df FROM f")
@@ -166,7 +174,7 @@ _german = "SELECT doc_id::VARCHAR FROM documents WHERE lang = 'de'"
 @query(f"{_BASE} SELECT term, count(*) AS df FROM p WHERE doc_id NOT IN ({_german}) GROUP BY term")
 def index_remove(spark, d):
     docs = _table(spark, d, "documents")
-    return _index(spark, d).remove(docs.where("lang = 'de'").select(F.col("doc_id").cast("string").alias("doc_id"))).term_stats
+    return _built(spark, d).remove(docs.where("lang = 'de'").select(F.col("doc_id").cast("string").alias("doc_id"))).term_stats
 
 
 @query(f"{_BASE} SELECT term, count(*) AS df FROM p GROUP BY term")
@@ -232,12 +240,12 @@ def _show(ranked: DataFrame) -> DataFrame:
 
 @query(f"{_ASK}, {_ranked(_TFIDF)} SELECT {_shown} FROM r")
 def tfidf_rank(spark, d):
-    return _show(ranking.TfIdf(_clustered(spark, d)).rank(_queries(spark, d), K))
+    return _show(ranking.TfIdf(_index(spark, d)).rank(_queries(spark, d), K))
 
 
 @query(f"{_ASK}, {_ranked(_bm25(1.5, 0.75))} SELECT {_shown} FROM r")
 def bm25_rank(spark, d):
-    return _show(ranking.Bm25(_clustered(spark, d)).rank(_queries(spark, d), K))
+    return _show(ranking.Bm25(_index(spark, d)).rank(_queries(spark, d), K))
 
 
 _twice = _ASK.replace(f"{_tok('text')} AS terms FROM benchmark", f"{_tok('text || chr(32) || text')} AS terms FROM benchmark")
@@ -246,7 +254,7 @@ _twice = _ASK.replace(f"{_tok('text')} AS terms FROM benchmark", f"{_tok('text |
 @query(f"{_twice}, {_ranked(_bm25(1.5, 0.75))} SELECT {_shown} FROM r")
 def bm25_repeated_terms(spark, d):
     doubled = _queries(spark, d).select("query_id", F.concat_ws(" ", "text", "text").alias("text"))
-    return _show(ranking.Bm25(_clustered(spark, d)).rank(doubled, K))
+    return _show(ranking.Bm25(_index(spark, d)).rank(doubled, K))
 
 
 _GRID = [(i, k1, b) for i, (k1, b) in enumerate((k1, b) for k1 in ranking.K1_GRID for b in ranking.B_GRID)]
@@ -260,7 +268,7 @@ gm AS (SELECT grid_pos, k1, b, avg(precision) AS precision, avg(recall) AS recal
 def _grid_metrics(spark, d) -> DataFrame:
     rel = _qrels(spark, d)
     asked = _queries(spark, d).join(rel.select("query_id").distinct(), "query_id", "left_semi")
-    return evaluation.mean_metrics(ranking.bm25_grid(_clustered(spark, d), asked, K), asked, rel, K, by=("grid_pos", "k1", "b"))
+    return evaluation.mean_metrics(ranking.bm25_grid(_index(spark, d), asked, K), asked, rel, K, by=("grid_pos", "k1", "b"))
 
 
 _means = ", ".join(f"round({c}, 6) AS {c}" for c in ("precision", "recall", "mrr", "ndcg"))
@@ -301,14 +309,14 @@ _eval = f"{_ASK}, {_ranked(_bm25(1.2, 0.75))}, {_QRELS}, {_metrics('r')}"
 @query(f"{_eval} SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM m")
 def eval_metrics(spark, d):
     asked = _queries(spark, d)
-    found = evaluation.mean_metrics(ranking.Bm25(_clustered(spark, d), 1.2, 0.75).rank(asked, K), asked, _qrels(spark, d), K)
+    found = evaluation.mean_metrics(ranking.Bm25(_index(spark, d), 1.2, 0.75).rank(asked, K), asked, _qrels(spark, d), K)
     return found.select(*[_r6(c).alias(c) for c in ("precision", "recall", "mrr", "ndcg")])
 
 
 @query(f"{_eval} SELECT query_id, round(ndcg, 6) AS ndcg FROM m")
 def per_query_ndcg(spark, d):
     asked = _queries(spark, d)
-    rows = evaluation.per_query_ndcg(ranking.Bm25(_clustered(spark, d), 1.2, 0.75).rank(asked, K), asked, _qrels(spark, d), K)
+    rows = evaluation.per_query_ndcg(ranking.Bm25(_index(spark, d), 1.2, 0.75).rank(asked, K), asked, _qrels(spark, d), K)
     return rows.select("query_id", _r6("ndcg").alias("ndcg"))
 
 
@@ -320,7 +328,7 @@ v AS (SELECT doc_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS w
 
 @query(f"{_VECTORS} SELECT doc_id, term, round(w, 6) AS w FROM v")
 def doc_vectors(spark, d):
-    return vectors.document_vectors(_clustered(spark, d)).select("doc_id", "term", _r6("w").alias("w"))
+    return vectors.document_vectors(_index(spark, d)).select("doc_id", "term", _r6("w").alias("w"))
 
 
 @query(
@@ -331,7 +339,7 @@ SELECT {_shown} FROM r WHERE rank <= {K}"""
 )
 def more_like_this(spark, d):
     wanted = _table(spark, d, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").cast("string").alias("doc_id"))
-    return _show(vectors.similar_documents(_clustered(spark, d), wanted, K))
+    return _show(vectors.similar_documents(_index(spark, d), wanted, K))
 
 
 # --- Naive Bayes: all labelled rows train; only nb_accuracy holds some out ---
@@ -475,7 +483,7 @@ a AS (SELECT u.user_id, d.doc_id, coalesce(x, 0) AS score FROM (SELECT DISTINCT
 SELECT user_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM a) WHERE rank <= {K}"""
 )
 def content_profile(spark, d):
-    ix, history = _clustered(spark, d), _reading(spark, d)
+    ix, history = _index(spark, d), _reading(spark, d)
     ranked = recommend.content_unseen(history, history, vectors.document_vectors(ix), ix.docs, K)
     return ranked.select("user_id", "doc_id", _r6("score").alias("score"), "rank")
 
@@ -488,7 +496,7 @@ df AS (SELECT query_id, m.ndcg - m2.ndcg AS d FROM m JOIN m2 USING (query_id))""
 
 
 def _differences(spark, d) -> DataFrame:
-    ix, asked, rel = _clustered(spark, d), _queries(spark, d), _qrels(spark, d)
+    ix, asked, rel = _index(spark, d), _queries(spark, d), _qrels(spark, d)
     scores = [evaluation.per_query_ndcg(r.rank(asked, K), asked, rel, K).withColumnRenamed("ndcg", "score") for r in (ranking.Bm25(ix, 1.2, 0.75), ranking.TfIdf(ix))]
     return significance.paired(*scores).withColumn("d", F.round("d", 12))
 
@@ -614,7 +622,7 @@ asg AS (SELECT d.doc_id, coalesce(topic, 0) AS topic FROM d LEFT JOIN (SELECT *
 
 
 def _centres(spark, d):
-    ix = _clustered(spark, d)
+    ix = _index(spark, d)
     v = vectors.document_vectors(ix)
     first = v.select("doc_id").distinct().orderBy("doc_id").limit(8).withColumn("topic", (F.row_number().over(Window.orderBy("doc_id")) - 1).cast("int"))
     return ix, v, v.join(first, "doc_id").select("topic", "term", "w")
@@ -637,7 +645,7 @@ def centroid_update(spark, d):
 
 @query()
 def spherical_kmeans(spark, d):
-    ix = _clustered(spark, d)
+    ix = _index(spark, d)
     return cluster.spherical_kmeans(vectors.document_vectors(ix), ix.docs)[0]
 
 

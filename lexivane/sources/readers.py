@@ -34,14 +34,19 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     """Distinct (query_id, doc_id) with a positive grade, of tab-separated lines of three cells.
 
-    Lines whose first cell is ``query-id``, in any case, are headers; another number of
-    cells raises; cells are trimmed; a query without a positive grade is absent.
+    Cells may be quoted. Lines whose first cell is ``query-id``, in any case, are headers;
+    another number of cells, or a grade that is no number, raises; cells are trimmed; blank
+    lines are skipped; a query without a positive grade is absent.
     """
-    lines = spark.read.text(path).where(F.length("value") > 0)
-    cells = lines.select(F.split(F.regexp_replace("value", "\r$", ""), "\t").alias("c")).where(F.lower(F.trim(F.col("c")[0])) != "query-id")
-    cell = lambda i: F.when(F.size("c") != 3, F.raise_error(F.lit("qrels lines need three cells"))).otherwise(F.trim(F.get("c", F.lit(i))))
-    rows = cells.select(cell(0).alias("query_id"), cell(1).alias("doc_id"), cell(2).cast("int").alias("grade"))
-    return rows.where("grade > 0").select("query_id", "doc_id").distinct()
+    schema = "query_id string, doc_id string, grade string, more string"
+    options = {"sep": "\t", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "line", "emptyValue": "", "nullValue": "\x00"}
+    rows = spark.read.schema(f"{schema}, line string").options(**options).csv(path)
+    rows = rows.where(F.lower(F.trim("query_id")) != "query-id")
+    # Three cells of the four in the schema are what the reader calls a corrupt line.
+    three = F.col("line").isNotNull() & F.col("grade").isNotNull() & F.col("more").isNull()
+    cell = lambda c: F.when(three, F.trim(c)).otherwise(F.raise_error(F.lit("qrels lines need three cells")))
+    found = rows.select(cell("query_id").alias("query_id"), cell("doc_id").alias("doc_id"), cell("grade").cast("int").alias("grade"))
+    return found.where("grade > 0").select("query_id", "doc_id").distinct()
 
 
 def merge_qrels(*parts: DataFrame) -> DataFrame:
@@ -79,9 +84,16 @@ def download(url: str, destination: str, timeout: float = 60) -> str:
     return destination
 
 
+#: Fixed columns of an evaluation's results.
+RESULT_COLUMNS = ("ranker", "parameters", "precision@10", "recall@10", "MRR", "NDCG@10", "average_query_latency_ms")
+
+
 def write_results_csv(results: DataFrame, path: str) -> None:
-    """Evaluation rows as one CSV file with a header."""
-    results.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """The result columns of evaluation rows, in their order, as one CSV file with a header."""
+    missing = [c for c in RESULT_COLUMNS if c not in results.columns]
+    if missing:
+        raise ValueError(f"results lack {', '.join(missing)}")
+    results.select(*[f"`{c}`" for c in RESULT_COLUMNS]).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def from_tables(documents: DataFrame) -> DataFrame:

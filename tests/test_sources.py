@@ -13,25 +13,30 @@ def lines(path, rows):
 
 
 def test_corpus(spark, tmp_path):
-    good = lines(tmp_path / "a.jsonl", [{"_id": "doc-1", "title": "First title", "text": "First body", "extra": 1}, "", "  "])
-    assert [tuple(r) for r in readers.read_corpus(spark, good).collect()] == [("doc-1", "First title", "First body")]
-    for rows in ([{"_id": "x", "title": "t"}], ["{bad"]):
+    good = lines(tmp_path / "a.jsonl", ["", {"text": "Two boats left.", "_id": "log-7", "wind": "NW", "title": "Dawn"}, " \t ", {"_id": "log-8", "title": "", "text": ""}])
+    assert sorted(map(tuple, readers.read_corpus(spark, good).collect())) == [("log-7", "Dawn", "Two boats left."), ("log-8", "", "")]
+    for bad in ([{"_id": "x", "title": "t"}], ["{broken"]):
         with pytest.raises(Exception):
-            readers.read_corpus(spark, lines(tmp_path / "b.jsonl", rows)).collect()
+            readers.read_corpus(spark, lines(tmp_path / "b.jsonl", bad)).collect()
 
 
 def test_queries_last_line_counts(spark, tmp_path):
-    path = lines(tmp_path / "q.jsonl", [{"_id": "q-1", "text": "old"}, {"_id": "q-2", "text": "gene"}, {"_id": "q-1", "text": "new"}])
-    assert {r["query_id"]: r["text"] for r in readers.read_queries(spark, path).collect()} == {"q-1": "new", "q-2": "gene"}
+    path = lines(tmp_path / "q.jsonl", [{"_id": "31", "text": "tide"}, {"_id": "32", "text": "fog"}, "", {"_id": "31", "text": "ebb"}])
+    assert {r["query_id"]: r["text"] for r in readers.read_queries(spark, path).collect()} == {"31": "ebb", "32": "fog"}
 
 
 def test_qrels(spark, tmp_path):
-    path = lines(tmp_path / "t.tsv", ["query-id\tcorpus-id\tscore", "q-1\tdoc-1\t1", "q-1\tdoc-2\t0", "", " q-2 \tdoc-3\t2", "QUERY-ID\ta\tb", "q-3\tdoc-4\t-1", "q-1\tdoc-1\t1"])
-    assert sorted(map(tuple, readers.read_qrels(spark, path).collect())) == [("q-1", "doc-1"), ("q-2", "doc-3")]
-    with pytest.raises(Exception, match="three cells"):
-        readers.read_qrels(spark, lines(tmp_path / "u.tsv", ["q-1\tdoc-1"])).collect()
-    both = readers.merge_qrels(readers.read_qrels(spark, path), spark.createDataFrame([("q-1", "doc-1"), ("q-9", "d")], "query_id string, doc_id string"))
-    assert both.count() == 3
+    rows = ["Query-ID\tdoc\tgrade", "31\tlog-7\t3", "31\tlog-8\t0", "", " 32 \t log-9 \t 1 ", "QUERY-ID\tonly two", "33\tlog-7\t-2", "31\tlog-7\t1", '34\t"log ""ten"""\t1', '"35"\t"log\televen"\t1']
+    path = lines(tmp_path / "t.tsv", rows)
+    want = [("31", "log-7"), ("32", "log-9"), ("34", 'log "ten"'), ("35", "log\televen")]
+    assert sorted(map(tuple, readers.read_qrels(spark, path).collect())) == want
+    for bad in ("31\tlog-7", "31\tlog-7\t1\tx", "31\tlog-7\t1\tx\ty"):
+        with pytest.raises(Exception, match="three cells"):
+            readers.read_qrels(spark, lines(tmp_path / "u.tsv", ["31\tlog-8\t1", bad])).collect()
+    with pytest.raises(Exception):
+        readers.read_qrels(spark, lines(tmp_path / "v.tsv", ["31\tlog-8\tmany"])).collect()
+    both = readers.merge_qrels(readers.read_qrels(spark, path), spark.createDataFrame([("31", "log-7"), ("39", "log-1")], "query_id string, doc_id string"))
+    assert both.count() == 5
 
 
 def test_archive(tmp_path):
@@ -52,8 +57,13 @@ def test_download_keeps_nothing_partial(tmp_path):
 
 
 def test_csv(spark, tmp_path):
-    readers.write_results_csv(spark.createDataFrame([("BM25", 0.5)], "ranker string, ndcg double"), str(tmp_path / "r"))
-    assert next((tmp_path / "r").glob("part-*.csv")).read_text() == "ranker,ndcg\nBM25,0.5\n"
+    row = ("BM25", "k1=1.2", 0.5, 0.25, 0.75, 0.125, 3.5, "extra")
+    names = [*readers.RESULT_COLUMNS, "note"]
+    table = spark.createDataFrame([row], names)
+    readers.write_results_csv(table.select(*[f"`{c}`" for c in reversed(names)]), str(tmp_path / "r"))
+    assert next((tmp_path / "r").glob("part-*.csv")).read_text() == ",".join(readers.RESULT_COLUMNS) + "\nBM25,k1=1.2,0.5,0.25,0.75,0.125,3.5\n"
+    with pytest.raises(ValueError):
+        readers.write_results_csv(table.drop("MRR"), str(tmp_path / "s"))
 
 
 def test_stream_makes_versions(spark, tmp_path):
