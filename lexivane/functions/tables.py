@@ -17,34 +17,35 @@ def on_one_machine(spark: SparkSession) -> bool:
     return master == "local" or master.startswith("local[")
 
 
+_own: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in ``spark.checkpoint.dir``, or of a single machine's session its own."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A fresh folder in ``spark.checkpoint.dir``.
+
+    A session on a single machine without that setting gets a folder of its own; on a
+    cluster it raises, as executors don't see the driver's folders.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not on_one_machine(spark):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="lexivane-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        base = f"file://{base}"
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="lexivane-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        base = f"file://{_own[0]}"
     return f"{base.rstrip('/')}/lexivane/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a reliable checkpoint in ``spark.checkpoint.dir``.
+    """``df`` written as a table in the shared folder and read again.
 
-    A session on a single machine without that setting gets a folder of its own; on a
-    cluster it raises.
+    Cuts the lineage: a lost executor costs no recomputation, and what several later
+    steps read is computed once.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not on_one_machine(df.sparkSession):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="lexivane-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = new_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivane.functions.driver import ResultCache
-from lexivane.functions.tables import small
+from lexivane.functions.tables import cut, small
 from lexivane.operators.index import Index
 
 #: Scores are compared at this many decimals: sums of equal parts may differ in the last bit.
@@ -37,9 +37,9 @@ def hits(index: Index, queries: DataFrame) -> DataFrame:
     over a stored index, or one clustered by document, counts aren't shuffled, and scores
     are summed up before they are.
     """
-    asked = query_terms(index, queries)
+    asked = cut(query_terms(index, queries))
     wanted = small(asked.select("term").distinct())
-    sides = small(asked.join(index.frequencies(wanted), "term"))
+    sides = small(cut(asked.join(index.frequencies(wanted), "term")))
     # One row: a bound that doesn't grow with the data.
     return index.matches(wanted).join(sides, "term").crossJoin(F.broadcast(index.corpus_stats))
 
@@ -113,13 +113,21 @@ def bm25_grid(index: Index, queries: DataFrame, k: int = 10, k1s=K1_GRID, bs=B_G
     """(grid_pos, k1, b, query_id, doc_id, score, rank) of every setting, in one job.
 
     Hits are found once; a score column for each setting is summed in the same
-    aggregation, and only the sums are spread out to rows.
+    aggregation. The k best of one setting give a floor for every other: no document below
+    all floors can be among any setting's k best, so few are spread out to rows.
     """
     grid = [(i, float(k1), float(b)) for i, (k1, b) in enumerate((k1, b) for k1 in k1s for b in bs)]
     for _, k1, b in grid:
         check_bm25(k1, b)
     sums = [F.sum(F.col("qtf") * bm25_part(F.lit(k1), F.lit(b))).alias(f"s{i}") for i, k1, b in grid]
-    wide = hits(index, queries).groupBy("query_id", "doc_id").agg(*sums)
+    wide = cut(hits(index, queries).groupBy("query_id", "doc_id").agg(*sums))
+    exact = lambda i: F.round(f"s{i}", DECIMALS)
+    lead = top_k(wide.withColumn("score", F.col(f"s{len(grid) // 2}")), k)
+    floors = lead.groupBy("query_id").agg(F.count("*").alias("n"), *[F.min(exact(i)).alias(f"f{i}") for i, _, _ in grid])
+    above = F.col("n") < k
+    for i, _, _ in grid:
+        above = above | (exact(i) >= F.col(f"f{i}"))
+    kept = wide.join(small(cut(floors)), "query_id").where(above)
     cells = F.array(*[F.struct(F.lit(i).alias("grid_pos"), F.lit(k1).alias("k1"), F.lit(b).alias("b"), F.col(f"s{i}").alias("score")) for i, k1, b in grid])
-    long = wide.select("query_id", "doc_id", F.explode(cells).alias("c")).select("c.grid_pos", "c.k1", "c.b", "query_id", "doc_id", "c.score")
+    long = kept.select("query_id", "doc_id", F.explode(cells).alias("c")).select("c.grid_pos", "c.k1", "c.b", "query_id", "doc_id", "c.score")
     return top_k(long, k, by=("grid_pos", "query_id"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexivane.functions.tables import new_folder, spread
+from lexivane.functions.tables import cut, new_folder, spread
 from lexivane.functions.text import FOLD_FROM, FOLD_TO, STOPWORDS, tokenize
 from lexivane.operators import boolean, classify, cluster, evaluation, factorization, index, prefix, ranking, recommend, significance, synthetic, vectors
 from lexivane.sources.readers import from_tables, merge_qrels
@@ -266,8 +266,8 @@ gm AS (SELECT grid_pos, k1, b, avg(precision) AS precision, avg(recall) AS recal
 
 
 def _grid_metrics(spark, d) -> DataFrame:
-    rel = _qrels(spark, d)
-    asked = _queries(spark, d).join(rel.select("query_id").distinct(), "query_id", "left_semi")
+    rel = cut(_qrels(spark, d))
+    asked = cut(_queries(spark, d).join(rel.select("query_id").distinct(), "query_id", "left_semi"))
     return evaluation.mean_metrics(ranking.bm25_grid(_index(spark, d), asked, K), asked, rel, K, by=("grid_pos", "k1", "b"))
 
 
@@ -309,14 +309,14 @@ _eval = f"{_ASK}, {_ranked(_bm25(1.2, 0.75))}, {_QRELS}, {_metrics('r')}"
 @query(f"{_eval} SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM m")
 def eval_metrics(spark, d):
     asked = _queries(spark, d)
-    found = evaluation.mean_metrics(ranking.Bm25(_index(spark, d), 1.2, 0.75).rank(asked, K), asked, _qrels(spark, d), K)
+    found = evaluation.mean_metrics(ranking.Bm25(_index(spark, d), 1.2, 0.75).rank(asked, K), asked, cut(_qrels(spark, d)), K)
     return found.select(*[_r6(c).alias(c) for c in ("precision", "recall", "mrr", "ndcg")])
 
 
 @query(f"{_eval} SELECT query_id, round(ndcg, 6) AS ndcg FROM m")
 def per_query_ndcg(spark, d):
     asked = _queries(spark, d)
-    rows = evaluation.per_query_ndcg(ranking.Bm25(_index(spark, d), 1.2, 0.75).rank(asked, K), asked, _qrels(spark, d), K)
+    rows = evaluation.per_query_ndcg(ranking.Bm25(_index(spark, d), 1.2, 0.75).rank(asked, K), asked, cut(_qrels(spark, d)), K)
     return rows.select("query_id", _r6("ndcg").alias("ndcg"))
 
 
@@ -484,7 +484,7 @@ SELECT user_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT
 )
 def content_profile(spark, d):
     ix, history = _index(spark, d), _reading(spark, d)
-    ranked = recommend.content_unseen(history, history, vectors.document_vectors(ix), ix.docs, K)
+    ranked = recommend.content_unseen(history, history, cut(vectors.document_vectors(ix)), ix.docs, K)
     return ranked.select("user_id", "doc_id", _r6("score").alias("score"), "rank")
 
 
@@ -496,7 +496,7 @@ df AS (SELECT query_id, m.ndcg - m2.ndcg AS d FROM m JOIN m2 USING (query_id))""
 
 
 def _differences(spark, d) -> DataFrame:
-    ix, asked, rel = _index(spark, d), _queries(spark, d), _qrels(spark, d)
+    ix, asked, rel = _index(spark, d), _queries(spark, d), cut(_qrels(spark, d))
     scores = [evaluation.per_query_ndcg(r.rank(asked, K), asked, rel, K).withColumnRenamed("ndcg", "score") for r in (ranking.Bm25(ix, 1.2, 0.75), ranking.TfIdf(ix))]
     return significance.paired(*scores).withColumn("d", F.round("d", 12))
 
@@ -623,7 +623,7 @@ asg AS (SELECT d.doc_id, coalesce(topic, 0) AS topic FROM d LEFT JOIN (SELECT *
 
 def _centres(spark, d):
     ix = _index(spark, d)
-    v = vectors.document_vectors(ix)
+    v = cut(vectors.document_vectors(ix))
     first = v.select("doc_id").distinct().orderBy("doc_id").limit(8).withColumn("topic", (F.row_number().over(Window.orderBy("doc_id")) - 1).cast("int"))
     return ix, v, v.join(first, "doc_id").select("topic", "term", "w")
 
