@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lexivane.llm import rules
 from lexivane.llm.common import written
 
-#: The model is fitted on so many labelled rows at most, about, drawn by hash.
+#: The model is fitted on so many different labelled rows at most, drawn by hash.
 TRAIN_ROWS = 30_000
 BINS, PAIR_BINS, ROUNDS, PAIR_ROUNDS, PAIRS = 32, 8, 120, 60, 6
 RATE, RIDGE = 0.15, 5.0
@@ -116,18 +116,19 @@ class Model:
         return sigmoid(out)
 
 
-def _cut_points(x: np.ndarray, bins: int) -> np.ndarray:
-    return np.unique(np.quantile(x, np.linspace(0, 1, bins + 1)[1:-1]))
+def _cut_points(x: np.ndarray, bins: int, times: np.ndarray) -> np.ndarray:
+    return np.unique(np.quantile(x, np.linspace(0, 1, bins + 1)[1:-1], weights=times, method="inverted_cdf"))
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> Model:
-    """Fit to labels 0 and 1. One class, or none, gives a constant score."""
-    share = (y.sum() + 1.0) / (len(y) + 2.0)
+def fit(x: np.ndarray, y: np.ndarray, times: np.ndarray | None = None) -> Model:
+    """Fit to labels 0 and 1, each row counted so many times. One class, or none, gives a constant score."""
+    t = np.ones(len(y)) if times is None else times
+    share = ((t * y).sum() + 1.0) / (t.sum() + 2.0)
     model = Model(float(np.log(share / (1 - share))))
     if len(y) == 0 or y.min() == y.max():
         return model
-    model.cuts = [_cut_points(c, BINS) for c in x.T]
-    model.pair_cuts = [_cut_points(c, PAIR_BINS) for c in x.T]
+    model.cuts = [_cut_points(c, BINS, t) for c in x.T]
+    model.pair_cuts = [_cut_points(c, PAIR_BINS, t) for c in x.T]
     fine = [np.searchsorted(c, v, side="right") for c, v in zip(model.cuts, x.T, strict=True)]
     coarse = [np.searchsorted(c, v, side="right") for c, v in zip(model.pair_cuts, x.T, strict=True)]
     model.tables = [np.zeros(len(c) + 1) for c in model.cuts]
@@ -136,14 +137,14 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
         for j, bins in enumerate(fine):
             p = sigmoid(out)
             n = len(model.tables[j])
-            step = RATE * three_leaves(np.bincount(bins, y - p, n), np.bincount(bins, p * (1 - p), n))
+            step = RATE * three_leaves(np.bincount(bins, t * (y - p), n), np.bincount(bins, t * p * (1 - p), n))
             model.tables[j] += step
             out += step[bins]
 
     def grids(i, j):
         p = sigmoid(out)
         at = coarse[i] * PAIR_BINS + coarse[j]
-        return [np.bincount(at, v, PAIR_BINS * PAIR_BINS).reshape(PAIR_BINS, PAIR_BINS) for v in (y - p, p * (1 - p))]
+        return [np.bincount(at, v, PAIR_BINS * PAIR_BINS).reshape(PAIR_BINS, PAIR_BINS) for v in (t * (y - p), t * p * (1 - p))]
 
     ranked = sorted(((four_leaves(*grids(i, j))[0], i, j) for i in range(len(fine)) for j in range(i)), reverse=True)
     tables = {(i, j): np.zeros((PAIR_BINS, PAIR_BINS)) for _, i, j in ranked[:PAIRS]}
@@ -174,14 +175,15 @@ def train(found: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit to the features of labelled documents that aren't held out.
 
     Labels other than 0 and 1, and null ones, are left out; a document labelled more than
-    once counts each time.
+    once counts each time. At most ``rows`` different rows come to the driver.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "quality")
-    n = usable.count()
-    if n > rows:
-        usable = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 20)) < int(rows / n * (1 << 20)))
-    data = found.join(usable, "doc_id").select("quality", "doc_id", *NAMES).toPandas().sort_values(["doc_id", "quality"])
-    return fit(data[list(NAMES)].to_numpy(dtype=float), data["quality"].to_numpy(dtype=float))
+    joined = found.join(usable, "doc_id").select("quality", "doc_id", *NAMES)
+    # Ids may repeat in both tables: equal rows are counted, and what is left is drawn by its hash.
+    equal = written(joined.groupBy("quality", "doc_id", *NAMES).agg(F.count("*").alias("times")), "quality-labelled")
+    draw = F.xxhash64(F.lit("train"), "doc_id", "quality", *NAMES)
+    data = equal.orderBy(draw, "doc_id", "quality").limit(rows).toPandas().sort_values(["doc_id", "quality", *NAMES])
+    return fit(data[list(NAMES)].to_numpy(dtype=float), data["quality"].to_numpy(dtype=float), data["times"].to_numpy(dtype=float))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -61,3 +61,60 @@ def test_no_labels_and_no_documents(spark, make, edge):
     none = labels(spark, [])
     assert {r["score"] for r in qm.score_documents(make(edge), none).collect()} == {0.5}
     assert qm.score_documents(make([]), none).count() == 0
+
+
+def test_scores_are_sums_of_table_cells():
+    """Every score against lookups in plain Python."""
+    from bisect import bisect_right
+    from math import exp
+
+    rng = np.random.default_rng(7)
+    x = rng.random((900, 5)).round(2)
+    y = ((x[:, 0] > 0.4) ^ (x[:, 3] > 0.7)).astype(float)
+    model = qm.fit(x[:600], y[:600])
+    for row, got in zip(x[600:], model.score(x[600:]), strict=True):
+        total = model.intercept
+        for cuts, table, value in zip(model.cuts, model.tables, row, strict=True):
+            total += table[bisect_right(cuts.tolist(), value)]
+        for i, j, table in model.pairs:
+            total += table[bisect_right(model.pair_cuts[i].tolist(), row[i])][bisect_right(model.pair_cuts[j].tolist(), row[j])]
+        assert got == pytest.approx(1 / (1 + exp(-max(-30, min(30, total)))))
+
+
+def test_counted_rows_equal_repeated_rows():
+    rng = np.random.default_rng(8)
+    x, times = rng.integers(0, 9, (300, 3)).astype(float), rng.integers(1, 4, 300)
+    y = (x[:, 0] + x[:, 1] > 8).astype(float)
+    model, whole = qm.fit(x, y, times.astype(float)), qm.fit(np.repeat(x, times, axis=0), np.repeat(y, times))
+    assert all(np.array_equal(a, b) for a, b in zip(model.cuts + model.pair_cuts, whole.cuts + whole.pair_cuts, strict=True))
+    assert model.score(x) == pytest.approx(whole.score(x))
+
+
+def test_repeated_ids_don_t_multiply_the_sample(spark, make, words):
+    rows = [(7, " ".join(words[:40]), "s")] * 40 + [(k, " ".join(words[k : k + 40]), "s") for k in range(8, 60)]
+    marks = [(7, 1, 0)] * 30 + [(k, k % 2, 0) for k in range(8, 60)]
+    found = qm.features(make(rows))
+    seen = []
+    real = qm.fit
+    try:
+        qm.fit = lambda x, y, t: seen.append((len(y), int(t.sum()))) or real(x, y, t)
+        qm.train(found, labels(spark, marks))
+        qm.train(found, labels(spark, marks), rows=20)
+    finally:
+        qm.fit = real
+    held = sum(zlib.crc32(str(k).encode()) % 5 == 0 for k in range(8, 60))
+    own = 0 if zlib.crc32(b"7") % 5 == 0 else 1
+    assert seen[0] == (52 - held + own, 52 - held + own * 1_200) and seen[1][0] == 20
+
+
+def test_registered_query_on_held_out_documents(spark):
+    """Accuracy at the threshold, and the share of pairs in the right order, of documents that never trained."""
+    from lexivane.llm.queries import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    scored = QUERIES["op2_quality_gam"](spark, d).where("held_out")
+    rows = scored.join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").select("score", "predicted", "quality").collect()
+    good, bad = [r["score"] for r in rows if r["quality"] == 1], [r["score"] for r in rows if r["quality"] == 0]
+    order = np.mean([(a > b) + (a == b) / 2 for a in good for b in bad])
+    assert len(good) > 20 and len(bad) > 5 and order > 0.97, order
+    assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.94
