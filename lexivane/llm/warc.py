@@ -27,7 +27,7 @@ BROADCAST_DIGESTS = 200_000
 #: The magic number of the skippable frame that holds a dictionary.
 DICT_MAGIC = 0x184D2A5D
 DICT_BYTES, SAMPLE_BYTES, SAMPLE_RECORD, LEVEL = 1 << 16, 4 << 20, 1 << 14, 3
-#: Below this many samples no dictionary can be trained, and files go without.
+#: Below this many samples no dictionary can be trained; the samples are its raw content.
 LEAST_SAMPLES = 16
 FILE_BYTES, MAX_READERS = 512 << 20, 50_000
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -87,20 +87,21 @@ def parse(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
 
 def train(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
-    """A dictionary for these records; empty where there are too few to train one.
+    """A dictionary for these records.
 
     The trainer gives up where long runs of a sample repeat themselves; a smaller
-    dictionary is asked for then.
+    dictionary is asked for then. Where there are too few records to train one, the
+    records themselves are the dictionary's content, so that files have one all the same.
     """
     import zstandard
 
-    size = min(size, sum(map(len, samples)) // 10)
-    while len(samples) >= LEAST_SAMPLES and size >= 256:
+    asked = min(size, sum(map(len, samples)) // 10)
+    while len(samples) >= LEAST_SAMPLES and asked >= 256:
         try:
-            return zstandard.train_dictionary(size, samples, k=min(1024, size // 2), d=8).as_bytes()
+            return zstandard.train_dictionary(asked, samples, k=min(1024, asked // 2), d=8).as_bytes()
         except zstandard.ZstdError:
-            size //= 2
-    return b""
+            asked //= 2
+    return b"".join(samples)[-size:]
 
 
 class Writer:
@@ -179,12 +180,16 @@ def dictionary_for(pages: DataFrame, total_bytes: int, sample_bytes: int = SAMPL
     it; what is archived is whole.
     """
     per = max(1, total_bytes // sample_bytes)
-    drawn = pages.where(F.pmod(F.xxhash64("page_id", F.lit("dictionary")), F.lit(per)) == 0) if per > 1 else pages
-    samples, left = [], 4 * sample_bytes
-    for r in drawn.select("page_id", "url", "html").toLocalIterator():
-        samples.append(record(r["page_id"], r["url"], (r["html"] or "").encode(), None, False)[:SAMPLE_RECORD])
-        left -= len(samples[-1])
-        if left < 0:
+    hashed = F.pmod(F.xxhash64("page_id", "url", "html", F.lit("dictionary")), F.lit(per))
+    # Where the draw is empty, as of few different pages, any will do.
+    for drawn in (pages.where(hashed == 0) if per > 1 else pages, pages.limit(LEAST_SAMPLES)):
+        samples, left = [], 4 * sample_bytes
+        for r in drawn.select("page_id", "url", "html").toLocalIterator():
+            samples.append(record(r["page_id"], r["url"], (r["html"] or "").encode(), None, False)[:SAMPLE_RECORD])
+            left -= len(samples[-1])
+            if left < 0:
+                break
+        if samples:
             break
     return train(samples)
 

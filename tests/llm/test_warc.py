@@ -81,3 +81,24 @@ def test_record_ids():
 def test_empty_and_few(spark):
     assert warc.read_archives(warc.write_archives(pages(spark, []))).count() == 0
     assert warc.read_archives(warc.write_archives(pages(spark, [(1, None, None)]))).first()["record_type"] == "response"
+
+
+def test_few_records_have_a_dictionary_too(spark):
+    import struct
+    import urllib.parse
+
+    rows = [(None, f"http://x.example/{k}", "<p>the same page of some length</p>" * 5) for k in range(4)]
+    manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    (path,) = [r["path"] for r in manifest.collect()]
+    head = open(urllib.parse.urlparse(path).path, "rb").read(8)
+    assert struct.unpack("<I", head[:4])[0] == warc.DICT_MAGIC and struct.unpack("<I", head[4:])[0] > 100
+    got = warc.read_archives(manifest).collect()
+    assert len(got) == 4 and {(r["record_type"], r["payload_bytes"]) for r in got} == {("response", len(rows[0][2]))}
+
+
+def test_any_ids_give_a_sample(spark):
+    """Without ids the draw is by the pages themselves, neither all of them nor none."""
+    pages = spark.range(400).selectExpr("cast(null as long) as page_id", "concat('http://x.example/', id) as url", "repeat(concat('word', id, ' '), 40) as html")
+    assert len(warc.dictionary_for(pages, 4_000_000, 40_000)) > 256
+    one = spark.range(50).selectExpr("1L as page_id", "'u' as url", "'same' as html")
+    assert warc.dictionary_for(one, 4_000_000, 40)
