@@ -2,38 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexivane.functions import tables
+
 WORD = r"[^\x20\x09-\x0D]+"
-_own: list[str] = []
 _made: list[str] = []
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share, in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, a single machine) gets a folder of its own.
+    Only a session without that setting on a single machine, as in tests, gets a folder of
+    its own; on a cluster it raises.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="lexivane-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-    return f"file://{_own[0]}"
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one."""
-    path = f"{shared_root(spark)}/lexivane/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
-    return path
+    _made.append(tables.new_folder(spark, name))
+    return _made[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -48,14 +33,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every folder that this module made for the session."""
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Delete every folder that this module made for the session, but for the first ``keep``."""
     jvm = spark.sparkContext._jvm
-    while _made:
+    while len(_made) > keep:
         path = jvm.org.apache.hadoop.fs.Path(_made.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def run_stages(spark: SparkSession, docs: DataFrame, stages) -> DataFrame:
+    """``docs`` through (name, function of docs) stages; each but the last is written.
+
+    When a stage is written, the tables that it made on its way are deleted, and so is the
+    stage before it.
+    """
+    *inner, (_, last) = stages
+    kept = len(_made)
+    for name, stage in inner:
+        made = len(_made)
+        out = stage(docs)
+        path = new_folder(spark, f"stage-{name}")
+        out.write.parquet(path)
+        _made.remove(path)
+        before = _made[kept:made]
+        release(spark, made)
+        del _made[kept:made]
+        _made.extend([path, *before])
+        release(spark, kept + 1)
+        docs = spark.read.schema(out.schema).parquet(path)
+    return last(docs)
+
+
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in the text; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

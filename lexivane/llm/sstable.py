@@ -165,7 +165,7 @@ class Writer:
 
 
 class Reader:
-    """Reads one file: ``get`` looks up, ``scan`` goes through all."""
+    """Reads one file: ``get`` looks up, ``scan`` goes through all. Closes it as a context."""
 
     def __init__(self, path: str):
         import zstandard
@@ -182,6 +182,15 @@ class Reader:
         self.bloom = self.file.read_at(index_at - filter_at, filter_at)
         self.index = self.file.read_at(index_size, index_at)
 
+    def close(self) -> None:
+        self.file.close()
+
+    def __enter__(self) -> Reader:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def _block(self, place: bytes) -> bytes:
         at, size = struct.unpack("<QI", place)
         stored = self.file.read_at(size + 4, at)
@@ -275,18 +284,19 @@ def write_tables(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            reader, rows = Reader(path), []
+            rows = []
 
             def out():
                 return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-            for key, value in reader.scan():
-                n = len(value) // reader.width
-                rows.append((key_id(key), base, n, zlib.crc32(reader.ids(value).tobytes())))
-                base += n
-                if len(rows) >= 10_000:
-                    yield out()
-                    rows.clear()
+            with Reader(path) as reader:
+                for key, value in reader.scan():
+                    n = len(value) // reader.width
+                    rows.append((key_id(key), base, n, zlib.crc32(reader.ids(value).tobytes())))
+                    base += n
+                    if len(rows) >= 10_000:
+                        yield out()
+                        rows.clear()
             if rows:
                 yield out()
 

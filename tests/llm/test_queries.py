@@ -1,0 +1,118 @@
+"""Every registered query of the list, over whole tables of the smallest scale."""
+
+import glob
+import os
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+import pyarrow.parquet as pq
+from test_mixing import brute_targets
+from test_pii import brute as brute_spans
+from test_simhash import brute_components, brute_print
+from tokenizers import Tokenizer
+
+import __spark_entry__
+from lexivane.llm import pii
+from lexivane.llm.queries import QUERIES, tokenizer_path
+
+D = "/root/testdata/sf0.001"
+COLUMNS = {
+    "op1_mix_sources": {"doc_id", "size", "source_size", "target", "taken"},
+    "op2_quality_gam": {"doc_id", "held_out", "score", "predicted"},
+    "op3_warc_zstd": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
+    "op4_chat_prefix_tree": {"conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"},
+    "op5_quality_rules": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
+    "op6_decontaminate": {"doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"},
+    "op7_hypergeometric_shards": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
+    "op8_simhash_dedup": {"doc_id", "fingerprint", "component_id"},
+    "op9_sstable_tokens": {"doc_id", "start", "n_tokens", "ids_crc32"},
+    "op10_pii_spans": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"},
+}
+
+
+@pytest.fixture(scope="module")
+def documents():
+    return pq.read_table(f"{D}/documents.parquet").to_pylist()
+
+
+def rows_of(spark, name):
+    df = QUERIES[name](spark, D)
+    assert COLUMNS[name] <= set(df.columns)
+    return df.collect()
+
+
+def test_names():
+    assert set(QUERIES) == set(COLUMNS)
+
+
+@pytest.mark.parametrize("name", sorted(n for n in COLUMNS if n in __spark_entry__.oracle_sql()))
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for f in glob.glob(f"{D}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    want = con.sql(__spark_entry__.oracle_sql()[name])
+    df = QUERIES[name](spark, D)
+    assert sorted(df.columns) == sorted(want.columns)
+    got = sorted(str(tuple(r[c] for c in want.columns)) for r in df.collect())
+    assert got == sorted(str(tuple(r)) for r in want.fetchall())
+
+
+def test_mix(spark, documents):
+    got = rows_of(spark, "op1_mix_sources")
+    sizes = Counter()
+    for d in documents:
+        sizes[d["source"]] += len(re.findall(r"[^\x20\x09-\x0D]+", d["text"] or ""))
+    assert Counter(r["doc_id"] for r in got) == Counter(d["doc_id"] for d in documents)
+    want, taken = brute_targets(sizes), Counter()
+    for r in got:
+        assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(want[r["source"]]) and 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    largest = max(r["size"] for r in got)
+    assert all(abs(taken[s] - t) <= largest for s, t in want.items())
+
+
+def test_shards(spark, documents):
+    got = rows_of(spark, "op7_hypergeometric_shards")
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((d["doc_id"], len((d["text"] or "").encode()) + 1, zlib.crc32((d["text"] or "").encode())) for d in documents)
+    counts = Counter(r["shard"] for r in got)
+    assert set(counts) == set(range(16)) and max(counts.values()) - min(counts.values()) <= 1
+    assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(n)) for s, n in counts.items())
+    assert {(r["law"], r["grown_shard"]) for r in got} == {("rows", None)}
+
+
+def test_near_duplicates(spark, documents):
+    got = {r["doc_id"]: r for r in rows_of(spark, "op8_simhash_dedup")}
+    prints = {d["doc_id"]: brute_print(d["text"]) for d in documents}
+    roots = brute_components(set(prints.values()))
+    least = {}
+    for i, p in prints.items():
+        least[roots[p]] = min(least.get(roots[p], i), i)
+    assert {i: (r["fingerprint"], r["component_id"]) for i, r in got.items()} == {i: (f"{p:016x}", least[roots[p]]) for i, p in prints.items()}
+
+
+def test_tokens(spark, documents):
+    model, start, want = Tokenizer.from_file(tokenizer_path()), 0, []
+    for d in sorted(documents, key=lambda d: d["doc_id"]):
+        ids = [*model.encode(d["text"] or "", add_special_tokens=False).ids, 0]
+        want.append((d["doc_id"], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in rows_of(spark, "op9_sstable_tokens")) == want
+
+
+def test_spans(spark, documents):
+    text = {d["doc_id"]: d["text"] for d in documents}
+    for r in rows_of(spark, "op10_pii_spans"):
+        base = brute_spans(text[r["doc_id"]])
+        assert r["base_sha256"] == pii.sha256_of(base) and [r[f"n_{k}"] for k in pii.BASE_KINDS] == [sum(s[0] == k for s in base) for k in pii.BASE_KINDS]
+        assert {":".join(map(str, s)) for s in base} <= set(r["spans"].split(","))
+
+
+def test_quality(spark, documents):
+    got = rows_of(spark, "op2_quality_gam")
+    assert Counter(r["doc_id"] for r in got) == Counter(d["doc_id"] for d in documents)
+    for r in got:
+        assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
