@@ -38,6 +38,8 @@ BANDS, BAND = 20, 5
 _draw = np.random.default_rng(SEED)
 _FACTORS, _TERMS = (_draw.integers(0, 1 << 64, BANDS * BAND, dtype=np.uint64) for _ in range(2))
 _FACTORS |= np.uint64(1)
+#: Shingles of one block of candidates; a task compares two blocks at most.
+BLOCK_SHINGLES = 2_000_000
 #: Up to so many candidates are sent to the texts, not joined by a shuffle of all texts.
 SENT = 200_000
 
@@ -83,14 +85,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["id", "key", "fp"])
 
 
-def text_key() -> Column:
-    """128 bits that stand for a text; with the id it names a row, or rows that are copies of each other."""
-    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+def row_key() -> Column:
+    """128 bits that stand for an id and a text: the name of a row, or of rows that repeat both."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("none")), F.lit(":"), F.coalesce("text", F.lit("")))))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(id, key, fp long) of (id long, text); the key stands for the text."""
-    return docs.select("id", text_key().alias("key"), "text").mapInArrow(_fingerprints, "id long, key binary, fp long")
+    """(id, key, fp long) of (id long, text); the key stands for both."""
+    return docs.select("id", row_key().alias("key"), "text").mapInArrow(_fingerprints, "id long, key binary, fp long")
 
 
 def _signed(x: int) -> int:
@@ -317,7 +319,8 @@ def _signatures(width: int):
         for batch in batches:
             sets = [shingle_set(t or b"", width) for t in batch.column(2).cast(pa.binary()).to_pylist()]
             fps = [_signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array([bands(x) for x in sets], pa.list_(pa.int64()))], ["id", "key", "fp", "bands"])
+            sizes = pa.array([len(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), sizes, pa.array([bands(x) for x in sets], pa.list_(pa.int64()))], ["id", "key", "fp", "size", "bands"])
 
     return run
 
@@ -347,7 +350,7 @@ def similar_groups(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 def _verifier(width: int, similarity: float):
-    """Reads (candidates, fp, text) sorted by the first two; gives (fp, root) of similar sets."""
+    """Reads (block, fp, text) sorted by the first two; gives (fp, root) of similar sets of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, fps, sets = None, [], []
@@ -363,9 +366,8 @@ def _verifier(width: int, similarity: float):
                     yield out()
                     fps, sets = [], []
                 now = of
-                if not fps or fps[-1] != fp:
-                    fps.append(fp)
-                    sets.append(shingle_set(texts[n].as_py() or b"", width))
+                fps.append(fp)
+                sets.append(shingle_set(texts[n].as_py() or b"", width))
         if fps:
             yield out()
 
@@ -376,24 +378,40 @@ def near_copies(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """(id, key, fp, root) of every row of (id long, text): texts of equal ``root`` are linked.
 
     Links are pairs whose sets of ``width``-word shingles have at least that Jaccard
-    similarity. Texts that share a MinHash band are candidates; each component of
-    candidates comes together once, and its sets are compared whole. ``fp`` stands for a
-    set, so exact copies are compared once. Null and empty texts are copies of each other.
+    similarity. Texts that share a MinHash band are candidates; the sets of a component of
+    candidates are compared whole. A component of more than ``BLOCK_SHINGLES`` is dealt to
+    blocks, and every two blocks meet in a task of their own: no task holds more, and no
+    pair is left out. ``fp`` stands for a set, so exact copies are compared once. Null and
+    empty texts are copies of each other.
     """
-    keyed = docs.select("id", text_key().alias("key"), "text")
-    signed = written(keyed.mapInArrow(_signatures(width), "id long, key binary, fp long, bands array<long>"), "copies-bands")
-    distinct = signed.groupBy("fp").agg(F.min(F.struct("id", "key")).alias("one"), F.first("bands").alias("bands"))
+    keyed = docs.select("id", row_key().alias("key"), "text")
+    signed = written(keyed.mapInArrow(_signatures(width), "id long, key binary, fp long, size long, bands array<long>"), "copies-bands")
+    distinct = signed.groupBy("fp").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     distinct = written(distinct, "copies-distinct")
     index = distinct.select("fp", F.explode("bands").alias("band"))
     least = index.groupBy("band").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
     stars = written(components(index.join(least, "band").select(F.col("fp").alias("a"), "b")), "copies-candidates")
-    asked = written(distinct.join(stars, distinct["fp"] == stars["node"]).select("one.*", "fp", F.col("root").alias("candidates")), "copies-asked").withColumnRenamed("id", "asked")
-    asked = F.broadcast(asked) if asked.count() <= SENT else asked
-    texts = keyed.join(asked, (keyed["key"] == asked["key"]) & F.col("id").eqNullSafe(F.col("asked"))).select("candidates", "fp", "text")
+    asked = distinct.join(stars, distinct["fp"] == stars["node"]).select("key", "fp", "size", F.col("root").alias("candidates"))
+    asked = written(asked, "copies-asked")
+    parts = asked.groupBy("candidates").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).alias("parts"))
+    asked = written(asked.join(parts, "candidates").drop("size"), "copies-parts")
+    several = not asked.where("parts > 1").isEmpty()
+    sent = F.broadcast(asked) if asked.count() <= SENT else asked
+    texts = keyed.join(sent, "key").select("candidates", "parts", "fp", "text")
     # One text of each set; Spark drops copies in every task before rows move.
     nth = F.row_number().over(Window.partitionBy("candidates", "fp").orderBy(F.length("text")))
-    texts = texts.withColumn("nth", nth).where("nth = 1").drop("nth").repartition("candidates").sortWithinPartitions("candidates", "fp")
-    roots = written(texts.mapInArrow(_verifier(width, similarity), "fp long, root long"), "copies-roots")
+    texts = texts.withColumn("nth", nth).where("nth = 1").drop("nth")
+    own = F.pmod(F.xxhash64("fp", F.lit(SEED)), F.col("parts"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: (x != F.col("own")) | (F.col("parts") == 1))
+    texts = texts.withColumn("own", own).withColumn("other", F.explode(others))
+    block = F.struct("candidates", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).alias("block")
+    texts = texts.select(block, "fp", "text").repartition("block").sortWithinPartitions("block", "fp")
+    named = texts.select(F.concat_ws(":", "block.candidates", "block.a", "block.b").alias("block"), "fp", "text")
+    roots = written(named.mapInArrow(_verifier(width, similarity), "fp long, root long"), "copies-roots")
+    if several:
+        # Blocks overlap: what they link is put together.
+        stars = components(roots.where("fp <> root").select(F.col("fp").alias("a"), F.col("root").alias("b")))
+        roots = written(stars.select(F.col("node").alias("fp"), "root"), "copies-joined")
     return signed.join(roots, "fp", "left").select("id", "key", "fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -409,12 +427,12 @@ def keep_one(docs: DataFrame, width: int = SHINGLE, similarity: float | None = N
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), column_or_null(docs, "doc_id", "long").alias("id"), text.alias("text"))
     found = near_duplicates(rows.select("id", "text")) if similarity is None else near_copies(rows.select("id", "text"), width, similarity)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
-    chosen = written(first.select("first.id", "first.key"), "simhash-chosen").withColumnRenamed("id", "chosen")
-    keyed = rows.select("row", "id", text_key().alias("key"))
-    stays = keyed.join(chosen, (keyed["key"] == chosen["key"]) & F.col("id").eqNullSafe(F.col("chosen")), "left_semi")
-    # Spark keeps the first of each group in every task before rows move, so copies don't meet in one.
-    nth = F.row_number().over(Window.partitionBy("key", "id").orderBy(F.xxhash64("row")))
-    return stays.withColumn("nth", nth).where("nth = 1").select("row.*")
+    chosen = written(first.select("first.key"), "simhash-chosen")
+    # Of rows that repeat id and text one stays, which Spark sees to in every task before rows
+    # move; the join finds them dealt by key.
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row")))
+    single = rows.select("row", row_key().alias("key")).withColumn("nth", nth).where("nth = 1")
+    return single.join(chosen, "key", "left_semi").select("row.*")
 
 
 def hex_fingerprint(fp: Column) -> Column:

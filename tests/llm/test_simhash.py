@@ -164,6 +164,26 @@ def test_stage_drops_near_copies_of_similarity_080(make, edge):
     assert {i for i, _, _ in rows if i < 60} <= kept
 
 
+def test_candidates_in_blocks_lose_no_link(spark, monkeypatch):
+    """A chain of near copies, each like its neighbours only, over many small blocks."""
+    rng = random.Random(6)
+    words = ["c%05d" % rng.randrange(99_999) for _ in range(120)]
+    rows = []
+    for k in range(60):
+        words = list(words)
+        words[(2 * k) % 120] = f"new{k}"
+        rows.append((k, " ".join(words)))
+    rows += [(1000 + k, " ".join("d%05d" % rng.randrange(99_999) for _ in range(40))) for k in range(30)] + [(2000, None), (2001, "")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    run = lambda: {r["id"]: r["root"] for r in simhash.near_copies(docs, 5, 0.8).collect()}
+    whole = run()
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 900)
+    blocks = run()
+    classes = lambda found: {frozenset(i for i in found if found[i] == r) for r in found.values()}
+    assert classes(blocks) == classes(whole)
+    assert frozenset(range(60)) in classes(whole) and frozenset({2000, 2001}) in classes(whole) and len(classes(whole)) == 32
+
+
 def test_similar_groups_against_brute_force():
     rng = random.Random(8)
     sets = [np.unique(np.array([rng.randrange(40) for _ in range(rng.randint(1, 60))], dtype=np.uint64)) for _ in range(120)]
