@@ -40,7 +40,7 @@ BLOCK_BYTES, RESTART, BLOOM_BITS, BLOOM_HASHES = 1 << 16, 16, 10, 7
 FILE_BYTES = 256 << 20
 MAX_READERS = 50_000
 #: Texts are encoded in groups of about so many bytes.
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 1_500_000
 
 
 def key_bytes(doc_id: int | None) -> bytes:
@@ -254,6 +254,8 @@ def _write(folder: str, tokenizer: str, end_id: int):
                         close()
                         writer = None
                 first = stop
+            # Arrow keeps what it has freed; the next stage's workers live beside this one.
+            pa.default_memory_pool().release_unused()
         if writer is not None:
             close()
         columns = list(zip(*rows, strict=True)) if rows else [()] * 5

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 
 #: Words in each of the two tables of a Python worker. When the newer one is full it takes
 #: the place of the older one, so words that are still in use stay.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 #: Words that the library's model takes as one string.
 JOINED_WORDS = 200
 _CUT = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
@@ -98,7 +98,7 @@ class _Table:
     def __init__(self, kind):
         self.number: dict[str, int] = {}
         self.used, self.ids = 0, np.empty(1 << 16, dtype=kind)
-        self.start, self.count = (np.zeros(1 << 14, dtype=np.int64) for _ in range(2))
+        self.start, self.count = (np.zeros(1 << 14, dtype=np.int32) for _ in range(2))
 
     def add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         n, m = len(self.number), len(words)
@@ -114,15 +114,14 @@ class _Table:
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """The words' numbers, -1 of those that aren't here."""
-        return np.fromiter(map(self.number.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        return np.fromiter(map(self.number.get, words, repeat(-1)), dtype=np.int32, count=len(words))
 
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all the numbered words, one after the other, and how many each has."""
         counts = self.count[numbers]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
+        ends = np.cumsum(counts, dtype=np.int32)
         at = np.repeat(self.start[numbers] - ends + counts, counts)
-        at += np.arange(total)
+        at += np.arange(len(at), dtype=np.int32)
         return self.ids[at], counts
 
 
@@ -140,16 +139,13 @@ class Encoder:
         self.width = 2 if size <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.by_words = is_plain_byte_level(spec)
-        self.bare = None
+        self.joins = False
         special = {x.content for x in self.model.get_added_tokens_decoder().values()}
         self.length, self.begins = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=bool)
         for token, i in self.model.get_vocab(with_added_tokens=True).items():
             self.length[i] = len(token.encode()) if token in special else len(token)
             self.begins[i] = token[0] in (spelled(b" "), spelled(b"\n")) if token else False
-        if self.by_words and may_join(spec):
-            # The same model without its pre-tokenizer.
-            self.bare = Tokenizer.from_file(path)
-            self.bare.pre_tokenizer = None
+        self.joins = self.by_words and may_join(spec)
         self.words, self.older = self._table(), None
 
     def _table(self) -> _Table:
@@ -178,7 +174,13 @@ class Encoder:
         ``first`` is what stands before each word that doesn't bring its own line end.
         """
         parts = [words[i : i + JOINED_WORDS] for i in range(0, len(words), JOINED_WORDS)]
-        found = self.bare.encode_batch_fast([spelled((first + first.join(p)).encode()) for p in parts], add_special_tokens=False)
+        # The model alone, without its pre-tokenizer.
+        cutter = self.model.pre_tokenizer
+        self.model.pre_tokenizer = None
+        try:
+            found = self.model.encode_batch_fast([spelled((first + first.join(p)).encode()) for p in parts], add_special_tokens=False)
+        finally:
+            self.model.pre_tokenizer = cutter
         left, ids, counts, added = [], [], [], []
         for part, e in zip(parts, found, strict=True):
             own = np.asarray(e.ids, dtype=self.kind)
@@ -221,7 +223,7 @@ class Encoder:
                 self.words.add(names(lacking[known]), *self.older.gather(at[known]))
                 lacking = lacking[~known]
         left: list[str] = []
-        if self.bare and len(lacking):
+        if self.joins and len(lacking):
             column = pa.array(names(lacking), pa.string())
             for pattern, first in ((_JOINED, " "), (_JOINED_LINE, "")):
                 like = pc.match_substring_regex(column, pattern).to_numpy(zero_copy_only=False)

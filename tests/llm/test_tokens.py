@@ -38,7 +38,7 @@ def test_every_path_gives_the_same_ids(words, monkeypatch):
     want = [x.tobytes() for x in Encoder(path)._whole(texts)]
     assert Encoder(path).encode(texts) == want
     alone = Encoder(path)
-    alone.bare = None
+    alone.joins = False
     assert alone.encode(texts) == want
     monkeypatch.setattr(tokens, "CACHE_WORDS", 20)
     turning = Encoder(path)
