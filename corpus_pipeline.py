@@ -6,7 +6,8 @@ and read again as the next stage's ``docs``. All but the last return the columns
 
 1. quality_rules: documents that fail the rule table go.
 2. simhash_dedup: of each group of documents linked by a Jaccard similarity of 0.8 or
-   more of their 5-word shingles, the document with the smallest id stays.
+   more of their 5-word shingles, the document with the smallest id stays. Candidates come
+   from SimHash fingerprints and their variants, and whole shingle sets are compared.
 3. decontaminate: documents with a twentieth of their words inside benchmark passages
    go; of the others such words are cut out.
 4. mix_sources: documents are repeated, or left out, until sources meet their weights.

@@ -184,6 +184,98 @@ def test_candidates_in_blocks_lose_no_link(spark, monkeypatch):
     assert frozenset(range(60)) in classes(whole) and frozenset({2000, 2001}) in classes(whole) and len(classes(whole)) == 32
 
 
+def wide_print(text):
+    """The stage's fingerprint of one text, bit by bit in plain Python."""
+    hashes = {xxhash.xxh64(" ".join(s).encode(), seed=42).intdigest() for s in five_word_shingles(text)}
+    out = []
+    for factor, term in zip(map(int, simhash._FACTORS), map(int, simhash._TERMS), strict=True):
+        counts = [0] * 64
+        for h in hashes:
+            x = (h * factor + term) % (1 << 64)
+            x ^= x >> 32
+            x = x * 0xBF58476D1CE4E5B9 % (1 << 64)
+            x ^= x >> 29
+            for b in range(64):
+                counts[b] += x >> b & 1
+        out.append(sum(1 << b for b in range(64) if 2 * counts[b] > len(hashes)))
+    return out
+
+
+def five_word_shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+
+
+def test_wide_fingerprint_against_plain_python():
+    rng = random.Random(2)
+    for n in (0, 1, 4, 5, 6, 70, 700):
+        text = " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(n))
+        got = simhash.wide_fingerprint(simhash.shingle_set(text.encode(), 5))
+        assert got.tolist() == wide_print(text)
+
+
+def meets(a, b):
+    """Of two fingerprints: some word has a piece in common, one a bit apart at most, and the words to check are close."""
+    for w in range(simhash.WORDS):
+        x = a[w] ^ b[w]
+        apart = [(x >> first & ((1 << width) - 1)).bit_count() for first, width in simhash.pieces()]
+        close = sum((a[(w + k) % simhash.WORDS] ^ b[(w + k) % simhash.WORDS]).bit_count() for k in range(simhash.CHECKED))
+        if 0 in apart and sum(d <= 1 for d in apart) > 1 and close <= simhash.RADIUS:
+            return True
+    return False
+
+
+@pytest.mark.parametrize("routed", [50_000, 3])
+def test_candidates_are_those_of_simhash_variants(spark, monkeypatch, routed):
+    """Near copies meet by their fingerprints' pieces and variants, unrelated texts don't; blocks change nothing."""
+    monkeypatch.setattr(simhash, "SMALL_RUN", 4)
+    rng = random.Random(10)
+    prints = []
+    for _ in range(25):
+        words = ["s%05d" % rng.randrange(99_999) for _ in range(100)]
+        for changes in (0, 1, 2, 5, 9):
+            copy = list(words)
+            for at in rng.sample(range(100), changes):
+                copy[at] = "t%05d" % rng.randrange(99_999)
+            prints.append(simhash.wide_fingerprint(simhash.shingle_set(" ".join(copy).encode(), 5)).tolist())
+    signed = [(k, [simhash._signed(x) for x in p]) for k, p in enumerate(prints)]
+    links = simhash.similar_links(spark.createDataFrame(signed, "fp long, words array<long>"), routed)
+    found = {r["node"]: r["root"] for r in simhash.components(links).collect()}
+    group = list(range(len(prints)))
+    for _ in prints:
+        before = list(group)
+        for a in range(len(prints)):
+            for b in range(a):
+                if group[a] != group[b] and meets(prints[a], prints[b]):
+                    group[a] = group[b] = min(group[a], group[b])
+        if before == group:
+            break
+    assert [found.get(k, k) for k in range(len(prints))] == group
+    assert all(group[k] // 5 == k // 5 for k in range(len(prints))) and 25 <= len(set(group)) < 75
+
+
+def test_stage_links_by_simhash(make, monkeypatch):
+    """Without a bit of tolerance only equal fingerprints would meet: the stage has no other way to near copies."""
+    rng = random.Random(12)
+    words = ["v%05d" % rng.randrange(99_999) for _ in range(150)]
+    docs = make([(1, " ".join(words), "a"), (2, " ".join([*words, "end"]), "a"), (3, " ".join(words), "b")])
+    ids = lambda: sorted(r["doc_id"] for r in corpus_pipeline.simhash_dedup(None, docs, None).collect())
+    assert ids() == [1]
+    monkeypatch.setattr(simhash, "similar_links", lambda distinct: distinct.selectExpr("fp as a", "fp as b"))
+    assert ids() == [1, 2]
+
+
+def test_recall_of_pairs_at_similarity_080():
+    """Pairs of just 0.8, the hardest: sets of 400 with 50 of each one's own shingles, and parts of others."""
+    rng = np.random.default_rng(7)
+    missed = 0
+    for common, left, right in [(400, 50, 50), (400, 100, 0)] * 1000:
+        x = rng.integers(0, 1 << 64, common + left + right, dtype=np.uint64)
+        a, b = (simhash.wide_fingerprint(np.concatenate([x[:common], y])).tolist() for y in (x[common : common + left], x[common + left :]))
+        missed += not meets(a, b)
+    assert missed <= 4
+
+
 def test_similar_groups_against_brute_force():
     rng = random.Random(8)
     sets = [np.unique(np.array([rng.randrange(40) for _ in range(rng.randint(1, 60))], dtype=np.uint64)) for _ in range(120)]
