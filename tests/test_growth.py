@@ -1,0 +1,50 @@
+"""Steps that once grew faster than their tables give the results of the plain computation."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lexivane.operators import factorization, recommend
+
+
+def _model(spark, users, items, kinds):
+    """Parameters that repeat after ``kinds`` ids."""
+    row = lambda n, j: (((n % kinds) * (j + 3)) % 7) / 7 - 0.4
+    frame = lambda names, key: spark.createDataFrame([(u, row(n, 9), [row(n, j) for j in range(3)]) for n, u in enumerate(names)], f"{key} string, bias double, factors array<double>")
+    return factorization.Model(frame(users, "user_id"), frame(items, "doc_id"), 3.0, [], [])
+
+
+@pytest.mark.parametrize("long, clip", [(1000, True), (3, False)])
+def test_users_of_equal_parameters_share_a_list(spark, monkeypatch, long, clip):
+    users, items = [f"u{n}" for n in range(12)], [f"d{n:03d}" for n in range(60)]
+    seen = spark.createDataFrame([(u, items[(n * 7 + j * 5) % 60]) for n, u in enumerate(users) for j in range(n)], "user_id string, doc_id string")
+    frame = lambda names, c: spark.createDataFrame([(x,) for x in names], f"{c} string")
+    model = _model(spark, users, items, 5)
+    u = {r["user_id"]: np.array([*r["factors"], r["bias"]]) for r in model.users.collect()}
+    i = {r["doc_id"]: np.array([*r["factors"], r["bias"]]) for r in model.items.collect()}
+    gone = {tuple(r) for r in seen.collect()}
+    value = lambda a, d: round(float(np.clip(x, 1, 5) if clip else x), 9) if (x := 3.0 + u[a][-1] + i[d][-1] + u[a][:-1] @ i[d][:-1]) is not None else 0
+    want = {(a, d, n) for a in users for n, (_, d) in enumerate(sorted((-value(a, d), d) for d in items if (a, d) not in gone)[:6], 1)}
+    run = lambda: {(r["user_id"], r["doc_id"], r["rank"]) for r in recommend.factor_unseen(frame(users, "user_id"), seen, frame(items, "doc_id"), model, 6, clip).collect()}
+    monkeypatch.setattr(recommend, "LONG_HISTORY", long)
+    with monkeypatch.context() as m:
+        m.setattr(recommend, "_block_scorer", None)  # every user against every item
+        assert run() == want
+    monkeypatch.setattr(recommend, "KIND_PAIRS", 0)
+    monkeypatch.setattr(recommend, "BLOCK_ITEMS", 13)
+    assert run() == want
+
+
+def test_items_of_equal_vectors_are_met_once(spark, monkeypatch):
+    terms = [("red", "round"), ("red", "flat"), ("blue", "round"), ("green", "long")]
+    v = spark.createDataFrame([(f"d{n:02d}", t, 0.5**0.5) for n in range(40) for t in terms[n % 4]], "doc_id string, term string, w double")
+    history = spark.createDataFrame([("a", "d00", 5), ("a", "d04", 1), ("b", "d02", 4), ("b", "d01", 5), ("c", "d03", 5)], "user_id string, doc_id string, rating int")
+    users, docs = history.select("user_id").distinct(), v.select("doc_id").distinct()
+    run = lambda: sorted((r["user_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in recommend.content_unseen(users, history, v, docs, 14).collect())
+    by_kind = run()
+    monkeypatch.setattr(recommend, "FEW_TERMS", 0)
+    assert by_kind == run() and len(by_kind) == 42
+    profiles = recommend.content_profiles(history, v)
+    monkeypatch.setattr(recommend, "FEW_TERMS", 10)
+    lists = recommend._content_kinds(profiles, v, history.select("user_id", "doc_id"), 2)
+    assert lists.groupBy("user_id").count().agg(F.max("count")).first()[0] == 4  # k + (seen), not every document with a term
