@@ -48,3 +48,45 @@ def test_items_of_equal_vectors_are_met_once(spark, monkeypatch):
     monkeypatch.setattr(recommend, "FEW_TERMS", 10)
     lists = recommend._content_kinds(profiles, v, history.select("user_id", "doc_id"), 2)
     assert lists.groupBy("user_id").count().agg(F.max("count")).first()[0] == 4  # k + (seen), not every document with a term
+
+
+def test_a_training_step_touches_its_own_rows_only():
+    rng = np.random.default_rng(3)
+    s = factorization.Settings(n_factors=4, rate=0.1)
+    U, Q = rng.normal(size=(500, 6)), rng.normal(size=(300, 6))
+    u, i, r = rng.integers(0, 40, 64), rng.integers(0, 20, 64), rng.normal(size=64)
+
+    def plain(U, Q):
+        x, y = U[u], Q[i]
+        e = ((x * y).sum(axis=1) - r)[:, None]
+        gu, gi = np.zeros_like(U), np.zeros_like(Q)
+        np.add.at(gu, u, e * y + s.reg * x)
+        np.add.at(gi, i, e * x + s.reg * y)
+        gu[:, -1], gi[:, -2] = 0.0, 0.0
+        return U - s.rate / 64 * gu, Q - s.rate / 64 * gi
+
+    want = plain(U, Q)
+
+    class Rows(np.ndarray):
+        def __isub__(self, other):
+            assert len(self) <= 64, "the whole table moves"
+            return np.asarray(self) - other
+
+    A, B = U.copy().view(Rows), Q.copy().view(Rows)
+    factorization.batch_step(A, B, u, i, r, s)
+    np.testing.assert_allclose(A, want[0], rtol=1e-12)
+    np.testing.assert_allclose(B, want[1], rtol=1e-12)
+
+
+def test_training_rows_stay_off_the_driver(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"u{k % 7}", f"d{k % 5}", 1 + k % 5) for k in range(35)], "user_id string, doc_id string, rating int")
+    s = factorization.Settings(n_factors=2, epochs=2, batch=4)
+    ids = spark.createDataFrame([(f"d{k}",) for k in range(8)], "doc_id string")
+    d = rows.orderBy("user_id", "doc_id", "rating").collect()
+    U, Q, mean, losses, _ = factorization.train(np.array([int(r[0][1:]) for r in d]), np.array([int(r[1][1:]) for r in d]), np.array([float(r[2]) for r in d]), 7, 8, s)
+    with monkeypatch.context() as m:
+        m.setattr(type(rows), "toPandas", lambda *_: pytest.fail("ratings come to the driver"))
+        model = factorization.fit(rows, s, item_ids=ids)
+    assert model.losses == losses and model.mean == mean
+    assert {r["doc_id"]: (r["bias"], r["factors"]) for r in model.items.collect()} == {f"d{k}": (Q[k, -1], Q[k, :2].tolist()) for k in range(8)}
+    assert {r["user_id"]: r["factors"] for r in model.users.collect()} == {f"u{k}": U[k, :2].tolist() for k in range(7)}
