@@ -33,15 +33,16 @@ def query_terms(index: Index, queries: DataFrame) -> DataFrame:
 def hits(index: Index, queries: DataFrame) -> DataFrame:
     """Postings of the queries' terms with all that a score needs.
 
-    A query side that is counted to be small is sent out, so rows stay with their document:
-    over a stored index, or one clustered by document, counts aren't shuffled, and scores
-    are summed up before they are.
+    A query side that is counted to be small is sent out, so rows stay with their document.
+    The few counts that match are dealt by document, once for all queries and settings: scores
+    are then summed up and cut to the k best where they are, and no row for each query and
+    document moves.
     """
     asked = cut(query_terms(index, queries))
     wanted = small(asked.select("term").distinct())
     sides = small(cut(asked.join(index.frequencies(wanted), "term")))
     # One row: a bound that doesn't grow with the data.
-    return index.matches(wanted).join(sides, "term").crossJoin(F.broadcast(index.corpus_stats))
+    return index.matches(wanted).repartition("doc_id").join(sides, "term").crossJoin(F.broadcast(index.corpus_stats))
 
 
 class Ranker(ABC):
@@ -112,15 +113,16 @@ K1_GRID, B_GRID = (0.9, 1.2, 1.5, 2.0), (0.4, 0.75, 0.9)
 def bm25_grid(index: Index, queries: DataFrame, k: int = 10, k1s=K1_GRID, bs=B_GRID) -> DataFrame:
     """(grid_pos, k1, b, query_id, doc_id, score, rank) of every setting, in one job.
 
-    Hits are found once; a score column for each setting is summed in the same
-    aggregation. The k best of one setting give a floor for every other: no document below
-    all floors can be among any setting's k best, so few are spread out to rows.
+    A score column for each setting is summed in the same aggregation. The k best of one
+    setting give a floor for every other: no document below all floors can be among any
+    setting's k best, so few are spread out to rows. Sums are made twice, for the floors and
+    for what is above them, and never written.
     """
     grid = [(i, float(k1), float(b)) for i, (k1, b) in enumerate((k1, b) for k1 in k1s for b in bs)]
     for _, k1, b in grid:
         check_bm25(k1, b)
     sums = [F.sum(F.col("qtf") * bm25_part(F.lit(k1), F.lit(b))).alias(f"s{i}") for i, k1, b in grid]
-    wide = cut(hits(index, queries).groupBy("query_id", "doc_id").agg(*sums))
+    wide = hits(index, queries).groupBy("query_id", "doc_id").agg(*sums)
     exact = lambda i: F.round(f"s{i}", DECIMALS)
     lead = top_k(wide.withColumn("score", F.col(f"s{len(grid) // 2}")), k)
     floors = lead.groupBy("query_id").agg(F.count("*").alias("n"), *[F.min(exact(i)).alias(f"f{i}") for i, _, _ in grid])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexivane.functions.tables import cut, dealt, new_folder, spread
+from lexivane.functions.tables import cut, dealt, new_folder, small, spread
 from lexivane.functions.text import FOLD_FROM, FOLD_TO, STOPWORDS, tokenize
 from lexivane.operators import boolean, classify, cluster, evaluation, factorization, index, prefix, ranking, recommend, significance, synthetic, vectors
 from lexivane.sources.readers import from_tables, merge_qrels
@@ -59,12 +59,20 @@ PASSAGE = 8
 
 
 def _qrels(spark, d, last: bool = False) -> DataFrame:
-    """(query_id, doc_id) of documents that hold an item's first, or last, terms in a row: a hash join."""
-    runs = lambda t: F.transform(F.slice(t, 1, F.greatest(F.size(t) - PASSAGE + 1, F.lit(0))), lambda x, i: F.xxhash64(F.slice(t, i + 1, PASSAGE)))
-    docs = _index(spark, d).docs
-    each = docs.select("doc_id", F.explode(F.array_distinct(runs(F.col("terms")))).alias("run"))
-    heads = _queries(spark, d).select("query_id", tokenize(F.col("text")).alias("t")).where(F.size("t") >= PASSAGE).select("query_id", F.xxhash64(F.slice("t", -PASSAGE if last else 1, PASSAGE)).alias("run"))
-    return each.join(heads, "run").select("query_id", "doc_id").distinct()
+    """(query_id, doc_id) of documents that hold an item's first, or last, terms in a row.
+
+    Only documents with the rarest of these terms, which postings tell, are read.
+    """
+    ix = _index(spark, d)
+    heads = _queries(spark, d).select("query_id", tokenize(F.col("text")).alias("t")).where(F.size("t") >= PASSAGE)
+    heads = cut(heads.select("query_id", F.slice("t", -PASSAGE if last else 1, PASSAGE).alias("run")))
+    each = heads.select("query_id", F.explode(F.array_distinct("run")).alias("term"))
+    rare = each.join(ix.frequencies(each.select("term").distinct()), "term").groupBy("query_id").agg(F.min(F.struct("df", "term"))["term"].alias("term"))
+    maybe = cut(ix.postings.select("term", "doc_id").join(small(cut(rare)), "term").join(small(heads), "query_id").select("doc_id", "query_id", "run"))
+    docs = ix.docs.where(F.size("terms") >= PASSAGE).join(small(maybe, 20_000), "doc_id")
+    # Runs begin where the first term stands.
+    starts = F.filter(F.sequence(F.lit(1), F.size("terms") - PASSAGE + 1), lambda i: F.get("terms", i - 1) == F.col("run")[0])
+    return docs.where(F.exists(starts, lambda i: F.slice("terms", i, PASSAGE) == F.col("run"))).select("query_id", "doc_id").distinct()
 
 
 def _interactions(spark, d, which: str = "true") -> DataFrame:
@@ -674,7 +682,7 @@ def random_recommend(spark, d):
 SELECT user_id, doc_id, rating, CASE WHEN place <= CASE WHEN n < 2 THEN 0 ELSE least(n - 1, greatest(1, round_even(n * 0.2::DOUBLE, 0))) END THEN 'test' ELSE 'train' END AS part FROM n"""
 )
 def random_split(spark, d):
-    training, testing = recommend.split_by_user(_interactions(spark, d))
+    training, testing = recommend.split_by_user(cut(_interactions(spark, d)))
     return training.withColumn("part", F.lit("train")).unionByName(testing.withColumn("part", F.lit("test")))
 
 

@@ -4,7 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexivane.operators import factorization, recommend
+from lexivane.functions import tables
+from lexivane.operators import factorization, ranking, recommend
+from lexivane.operators.index import build_index
+from lexivane.plans import registry
 
 
 def _model(spark, users, items, kinds):
@@ -90,3 +93,41 @@ def test_training_rows_stay_off_the_driver(spark, monkeypatch):
     assert model.losses == losses and model.mean == mean
     assert {r["doc_id"]: (r["bias"], r["factors"]) for r in model.items.collect()} == {f"d{k}": (Q[k, -1], Q[k, :2].tolist()) for k in range(8)}
     assert {r["user_id"]: r["factors"] for r in model.users.collect()} == {f"u{k}": U[k, :2].tolist() for k in range(7)}
+
+
+def test_the_grid_writes_no_table_of_queries_and_documents(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"d{k:02d}", "", f"apple pear{k % 3} plum{k % 7}") for k in range(40)], "doc_id string, title string, body string")
+    asked = spark.createDataFrame([("q1", "apple plum1"), ("q2", "pear2")], "query_id string, text string")
+    written, kept = [], ranking.cut
+    monkeypatch.setattr(ranking, "cut", lambda df: written.append(df.columns) or kept(df))
+    assert ranking.bm25_grid(build_index(docs), asked, 3).count() == 12 * 2 * 3
+    assert written and not any({"query_id", "doc_id"} <= set(c) for c in written)
+
+
+def test_passages_are_sought_in_documents_with_their_rarest_term(spark, monkeypatch, tmp_path):
+    head = "one two three four five six seven eight"
+    texts = [f"zero {head} nine", "one two three four five six seven", f"one one {head}", "eight seven six five four three two one", ""]
+    spark.createDataFrame([(n, t, "s") for n, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, head + " more"), (2, "short"), (3, "nine " + head)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    read, kept = [], registry.cut
+    monkeypatch.setattr(registry, "cut", lambda df: read.append(df.columns) or kept(df))
+    first, last = (sorted(tuple(r) for r in registry._qrels(spark, str(tmp_path), x).collect()) for x in (False, True))
+    assert first == [("1", "0"), ("1", "2")] and last == [("3", "0"), ("3", "2")]
+    assert ["doc_id", "query_id", "run"] in read
+
+
+def test_tasks_of_a_dealt_table_stay_small(spark, monkeypatch):
+    rows = spark.range(300).withColumn("user_id", F.col("id") % 50)
+    assert tables.dealt(rows, 300, "user_id") is rows
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 20)
+    assert tables.dealt(rows, 300, "user_id").rdd.getNumPartitions() == 15
+    docs = spark.createDataFrame([(f"d{k}", "", "a b") for k in range(6)], "doc_id string, title string, body string")
+    assert build_index(docs, cluster=True).docs.rdd.getNumPartitions() == 30
+
+
+def test_random_lists_send_out_no_table_of_users(spark):
+    items = spark.createDataFrame([(f"d{k}",) for k in range(30)], "doc_id string")
+    users = spark.createDataFrame([("a",), ("b",)], "user_id string")
+    seen = spark.createDataFrame([("a", "d1")], "user_id string, doc_id string")
+    got = recommend.random_unseen(users, seen, items, 4)
+    assert got.count() == 8 and "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
