@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivane.functions.tables import small
+from lexivane.functions.tables import dealt, small
 from lexivane.functions.text import indexed_text, tokenize
 
 
@@ -140,6 +140,9 @@ class StoredIndex(Index):
         return row["df"] if row else 0
 
 
+#: For the number of tasks of a clustered index: rows that a document's terms make, about.
+TERMS_A_DOCUMENT = 100
+
 STORED = {
     "documents": "doc_id string, doc_len int, terms array<string>, counts array<struct<term:string,tf:int>>",
     "postings": "term string, doc_id string, tf int, doc_len int",
@@ -151,8 +154,8 @@ STORED = {
 def store(index: Index, folder: str) -> StoredIndex:
     """Write an index as tables below ``folder``, which is new, and open it. Texts are tokenized once."""
     spark = index.docs.sparkSession
-    # Equal terms stand together once sorted; where a run of them begins, its length is the count.
-    ordered = index.docs.select("doc_id", "terms", F.array_sort("terms").alias("s"))
+    # Equal terms stand together once sorted (``array_sort`` would call a comparator for each pair); where a run of them begins, its length is the count.
+    ordered = index.docs.select("doc_id", "terms", F.sort_array("terms").alias("s"))
     ordered = ordered.withColumn("firsts", F.filter(F.sequence(F.lit(0), F.size("s")), lambda i: (i == F.size("s")) | (i == 0) | (F.get("s", i) != F.get("s", i - 1))))
     counts = F.transform(F.slice("firsts", 1, F.size("firsts") - 1), lambda a, k: F.struct(F.get("s", a).alias("term"), (F.get("firsts", k + 1) - a).alias("tf")))
     ordered.select("doc_id", F.size("terms").alias("doc_len"), "terms", F.when(F.size("s") > 0, counts).otherwise(F.expr("cast(array() as array<struct<term:string,tf:int>>)")).alias("counts")).write.parquet(f"{folder}/documents")
@@ -187,7 +190,10 @@ def build_index(documents: DataFrame, tokenizer: Callable[[Column], Column] = to
     is later grouped by document (postings, norms, scores by query and document), which
     then moves nothing; scans that only filter don't need it.
     """
-    docs = _terms(documents.repartition("doc_id") if cluster else documents, tokenizer)
+    if cluster:
+        some = dealt(documents, documents.count() * TERMS_A_DOCUMENT, "doc_id")
+        documents = documents.repartition("doc_id") if some is documents else some
+    docs = _terms(documents, tokenizer)
     if check:
         _check_unique(docs)
     return Index(docs, version=1, tokenizer=tokenizer)
